@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import decontaminate as m7
 from . import line_dedup as m3
+from . import near_dedup as m4
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": m3.op3_line_dedup}
+    return {"op3_line_dedup": m3.op3_line_dedup, "op4_near_dedup": m4.op4_near_dedup, "op7_decontaminate": m7.op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": m3.OP3_SQL}
+    return {"op3_line_dedup": m3.OP3_SQL, "op7_decontaminate": m7.OP7_SQL}
