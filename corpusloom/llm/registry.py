@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate as m7
+from . import html_text as m2
 from . import license_scan as m10
 from . import line_dedup as m3
 from . import near_dedup as m4
@@ -12,8 +13,8 @@ from . import toxicity as m6
 
 
 def queries() -> dict:
-    return {"op1_quality": m1.op1_quality, "op6_toxicity": m6.op6_toxicity, "op3_line_dedup": m3.op3_line_dedup, "op4_near_dedup": m4.op4_near_dedup, "op7_decontaminate": m7.op7_decontaminate, "op8_packing": m8.op8_packing, "op10_license_scan": m10.op10_license_scan}
+    return {"op1_quality": m1.op1_quality, "op2_html_text": m2.op2_html_text, "op6_toxicity": m6.op6_toxicity, "op3_line_dedup": m3.op3_line_dedup, "op4_near_dedup": m4.op4_near_dedup, "op7_decontaminate": m7.op7_decontaminate, "op8_packing": m8.op8_packing, "op10_license_scan": m10.op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": m1.op1_quality, "op6_toxicity": m6.op6_toxicity, "op3_line_dedup": m3.OP3_SQL, "op7_decontaminate": m7.OP7_SQL}
+    return {"op3_line_dedup": m3.OP3_SQL, "op7_decontaminate": m7.OP7_SQL}
