@@ -155,3 +155,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the documents that language_id rejects; rows that share an id go if all of them are rejected."""
+    judged = language_id(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("accepted").alias("__ok"))
+    gone = judged.where("not __ok").select("__gone")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
