@@ -3,8 +3,8 @@
 Each permutation is evaluated once per shingle and gives two signature values, its minimum and its
 maximum; bands of the values bring similar documents together. Copies with the same shingle set
 are one class from the start, and only its smallest document is compared. In each band bucket documents are compared
-with a few pivots and not with each other; buckets whose members are in different components
-get further pivots until none is left open, so that no pair of different components goes untested.
+with one pivot, the member that most others meet, and not with each other. Members of buckets that are then still in different
+components are joined on the rarest shingles of their whole sets (an exact prefix filter), so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import read_table, shuffle_parts, stored
@@ -27,8 +27,8 @@ _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(0, 2**63, BANDS * ROWS // 2, dtype=np.int64).astype(U) * U(2) + U(1)
 ADDENDS = _rng.integers(0, 2**63, BANDS * ROWS // 2, dtype=np.int64).astype(U)
 PLACES = _rng.integers(0, 2**63, SHINGLE + BANDS * ROWS + 1, dtype=np.int64).astype(U) * U(2) + U(1)
-#: Members of a bucket that are compared with all its others in one round after the first.
-PIVOTS = 16
+#: Counters of shingles for the order of the prefix filter, at most; sizes of sets whose ratio is below this share a class.
+COUNTERS, SIZE_STEP = 1 << 20, 1.04
 #: Pairs of one pivot that a task takes together.
 SALT_ROWS = 2048
 
@@ -154,6 +154,76 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(compare(percent), "a long, b long").distinct()
 
 
+def shingle_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bin, n): how many of the sets have a shingle of each counter."""
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            for own in unique_sets(part.column(2)):
+                np.add.at(total, (own & U(COUNTERS - 1)).astype(np.int64), 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bin", "n"])
+
+
+PREFIX = "token long, step int, small boolean, oid long, label long, n long, pos long"
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP) + 1e-9).astype(np.int64)
+
+
+def prefixes(shared, percent: int):
+    """Rows of the shingles, rarest first, at which a set may first meet a set it is linked with.
+
+    Two linked sets share so many shingles that the first common one stands early in both. A set is listed under its own size
+    class for partners at least as large (``small``), and under the size classes of those smaller partners that a place allows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = shared.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+
+                def put(tokens, steps, small, oid, label, n, pos, cols=cols):
+                    for c, x in zip(cols, (tokens.view(np.int64), steps, np.full(len(tokens), small), np.full(len(tokens), oid), np.full(len(tokens), label), np.full(len(tokens), n), pos), strict=True):
+                        c.append(x)
+
+                for oid, label, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), unique_sets(part.column(2)), strict=True):
+                    n = len(own)
+                    order = np.lexsort((own, counters[(own & U(COUNTERS - 1)).astype(np.int64)]))
+                    pos = np.arange(n)
+                    near = pos[(100 + percent) * (n - pos) >= 2 * percent * n]
+                    put(own[order[near]], np.full(len(near), size_class(np.array([n]))[0]), True, oid, label, n, near)
+                    least = -(-percent * n // 100)
+                    most = np.minimum(n, (100 + percent) * (n - pos) // percent - n)
+                    far = pos[most >= least]
+                    low, high = size_class(np.array([least]))[0], size_class(most[far])
+                    times = high - low + 1
+                    steps = np.repeat(low, times.sum()) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    put(np.repeat(own[order[far]], times), steps, False, oid, label, n, np.repeat(far, times))
+                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "step", "small", "oid", "label", "n", "pos"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, percent: int) -> DataFrame:
+    """(oid, pivot) of all texts (oid, label, text) of different labels that may be linked."""
+    spark = texts.sparkSession
+    counted = texts.mapInArrow(shingle_counters, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counters = np.zeros(COUNTERS, dtype=np.int32)
+    counters[np.asarray(counted.column("bin"))] = np.minimum(np.asarray(counted.column("n")), 2**31 - 1)
+    rows = stored(texts.mapInArrow(prefixes(spark.sparkContext.broadcast(counters), percent), PREFIX), "prefixes")
+    a = rows.where("small").select("token", "step", F.col("oid").alias("oa"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = rows.where("not small").select("token", "step", F.col("oid").alias("ob"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    c = F.col
+    same = (a["token"] == b["token"]) & (a["step"] == b["step"]) & (c("la") != c("lb")) & ((c("na") < c("nb")) | ((c("na") == c("nb")) & (c("oa") < c("ob"))))
+    enough = (100 + percent) * F.least(c("na") - c("pa"), c("nb") - c("pb")) >= percent * (c("na") + c("nb"))
+    return a.hint("merge").join(b, same & enough).select(c("ob").alias("oid"), c("oa").alias("pivot")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -189,36 +259,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         ranked = buckets.select("oid", "key").join(popular, "oid")
         heads = ranked.groupBy("key").agg(F.max(F.struct("popular", (-F.col("oid")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
         pairs = buckets.select("oid", "key").join(stored(heads, "pivots").hint("merge"), "key").where("oid <> pivot").select("oid", "pivot").distinct()
-        tested = stored(pairs, "pairs")
-        edges.append(stored(verified(tested, some, percent), "links"))
-        while True:
-            links = edges[0]
-            for more in edges[1:]:
-                links = links.unionByName(more)
-            labels = connected_components(labels, links)
-            state = buckets.select("oid", "key").join(labels.select(F.col("v").alias("oid"), "label"), "oid")
-            mixed = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
-            mixed = stored(mixed, "open-keys")
-            if mixed.isEmpty():
-                break
-            state = stored(state.join(mixed.hint("merge"), "key"), "open-buckets")
-            share = stored(state.groupBy("key", "label").agg(F.count("*").alias("share")), "shares")
-            # of pairs not yet tested, a round takes those with the first PIVOTS members that still have one
-            tried = tested.select(F.col("oid").alias("x"), F.col("pivot").alias("y")).unionByName(tested.select(F.col("pivot").alias("x"), F.col("oid").alias("y"))).distinct()
-            inner = state.join(share.hint("merge"), ["key", "label"])
-            done = state.select("key", F.col("oid").alias("x"), F.col("label").alias("lx")).join(tried, "x").join(state.select("key", F.col("oid").alias("y"), F.col("label").alias("ly")), ["key", "y"]).where("lx <> ly").groupBy("key", F.col("x").alias("oid")).agg(F.count("*").alias("done"))
-            totals = stored(state.groupBy("key").agg(F.count("*").alias("size")), "open-sizes")
-            waiting = inner.join(totals.hint("merge"), "key").join(done, ["key", "oid"], "left").where("size - share > coalesce(done, 0)")
-            order = Window.partitionBy("key").orderBy("share", "oid")
-            heads = waiting.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS).select("key", F.col("oid").alias("pivot"), F.col("label").alias("lp"))
-            heads = stored(heads, "pivots")
-            pairs = state.join(heads.hint("merge"), "key").where("label <> lp").select(F.greatest("oid", "pivot").alias("oid"), F.least("oid", "pivot").alias("pivot")).distinct()
-            pairs = pairs.join(tried.select(F.col("x").alias("oid"), F.col("y").alias("pivot")), ["oid", "pivot"], "left_anti")
-            pairs = stored(pairs, "pairs")
-            if pairs.isEmpty():
-                break
-            tested = tested.unionByName(pairs)
-            edges = [links, stored(verified(pairs, some, percent), "links")]
+        pairs = stored(pairs, "pairs")
+        edges.append(stored(verified(pairs, some, percent), "links"))
+        links = edges[0].unionByName(edges[1])
+        labels = connected_components(labels, links)
+        state = stored(buckets.select("oid", "key").join(labels.select(F.col("v").alias("oid"), "label"), "oid"), "states")
+        mixed = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
+        mixed = stored(mixed, "open-keys")
+        if not mixed.isEmpty():
+            waiting = state.join(mixed.hint("merge"), "key", "left_semi").select("oid", "label").distinct()
+            open_texts = stored(waiting.join(some, "oid"), "open-texts")
+            pairs = stored(prefix_pairs(open_texts, percent), "pairs")
+            if not pairs.isEmpty():
+                more = stored(verified(pairs, open_texts.select("oid", "text"), percent), "links")
+                labels = connected_components(labels, links.unionByName(more))
     else:
         labels = connected_components(labels, edges[0])
 
