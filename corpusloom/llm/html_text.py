@@ -36,6 +36,8 @@ MARKS = re.compile(
     r"|complementary|navigation|contentinfo|skip)(?:$|[\s_-])"
 )
 HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|top|topbar|head)(?:$|[\s_-])")
+#: A tag that the page's end cuts off is no text.
+CUT_OFF = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 
 
 class Line:
@@ -167,7 +169,7 @@ def content_lines(lines: list[Line], sigma: float, threshold: float) -> list[Lin
 
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE) -> str:
     parser = Lines()
-    parser.feed(html)
+    parser.feed(CUT_OFF.sub("", html))
     parser.close()
     parser.cut()
     wanted = [x for x in parser.lines if not x.unwanted]

@@ -1,0 +1,76 @@
+"""Quality, toxicity and language: held-out accuracy and edge cases."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from corpusloom.llm import language_id, quality, toxicity
+from corpusloom.llm._store import read_table
+
+EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "word " * 30_000), (5, "plain words here"), (5, "plain words here"), (None, "no id")]
+SF = "/root/testdata/sf0.01"
+
+
+def accuracy(spark, scored, label):
+    labels = read_table(spark, SF, "labels").select("doc_id", label)
+    rows = scored.where("held_out").join(labels, "doc_id").collect()
+    return np.mean([r.predicted == r[label] for r in rows]), rows
+
+
+def test_quality_held_out(spark):
+    share, rows = accuracy(spark, quality.op1_quality(spark, SF), "quality")
+    assert share > 0.93 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_held_out_and_clean_documents_stay_clean(spark):
+    share, rows = accuracy(spark, toxicity.op6_toxicity(spark, SF), "toxic")
+    assert share > 0.9
+    clean = [r for r in rows if r.toxic == 0]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+
+
+def test_edges_and_no_labels(spark):
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in EDGES], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(5, 1, 1), (4, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int")
+    for run in (quality.quality, toxicity.toxicity):
+        for given in (labels, labels.limit(0)):
+            got = run(docs, given).collect()
+            assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+        assert run(docs.limit(0), labels).count() == 0
+
+
+def test_segments_are_all_maximal():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        x = rng.integers(-3, 4, 12).astype(float)
+        got = toxicity.segments(x)
+        best = max(0.0, max(x[i:j].sum() for i in range(12) for j in range(i + 1, 13)))
+        assert abs(max([s for *_, s in got], default=0.0) - best) < 1e-9
+        assert all(abs(x[a:b].sum() - s) < 1e-9 and s > 0 for a, b, s in got)
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:], strict=False))
+        covered = {i for a, b, _ in got for i in range(a, b)}
+        assert covered >= set(np.flatnonzero(x > 0).tolist())
+
+
+def test_language_of_documents(spark):
+    docs = read_table(spark, SF, "documents")
+    rows = language_id.language_id(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
+    assert np.mean([r.lang == r.truth for r in rows]) > 0.98 and np.mean([r.accepted for r in rows]) > 0.99
+    # without any declaration for half of them, text and host still tell
+    half = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    rows = language_id.language_id(half).where("doc_id % 2 = 1").join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
+    assert np.mean([r.lang == r.truth for r in rows]) > 0.95
+
+
+def test_language_edges(spark):
+    docs = spark.createDataFrame([(i, t, "en" if t else None, None, 1.0) for i, t in EDGES], "doc_id long, text string, lang string, source string, p double")
+    got = language_id.language_id(docs).collect()
+    assert len(got) == len(EDGES) and [r.accepted for r in got if r.doc_id in (1, 2, 3)] == [False] * 3 and all(r.lang is None for r in got if r.doc_id in (1, 2, 3))
+    assert language_id.language_id(docs.limit(0)).count() == 0
+    assert language_id.language_id(docs, declared_col=None, host_col=None).count() == len(EDGES)
+    assert {r.doc_id for r in language_id.keep_known(docs).collect()} == {4, 5, None}
+
+
+def test_host_and_suffix(spark):
+    df = spark.createDataFrame([("https://u@WWW.Example.de:80/x",), (None,), ("nothing",)], "url string")
+    got = df.select(language_id.host_of(F.col("url")).alias("h")).select("h", language_id.suffix_of(F.col("h")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("www.example.de", "de"), ("", ""), ("", "")]
