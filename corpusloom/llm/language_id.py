@@ -27,7 +27,7 @@ HOST_PRIOR, SUFFIX_PRIOR, DECLARED_PRIOR = 20.0, 50.0, 2.0
 #: Hosts that are broadcast at most; more are joined by shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 #: A document is accepted from this posterior on.
-ACCEPT = 0.6
+ACCEPT = 0.5
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
