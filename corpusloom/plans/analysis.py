@@ -379,3 +379,52 @@ def _(spark, d):
     """Beyond the reference: event-time windows."""
     events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return incremental.windowed_counts(events).withColumn("w_start", F.col("w_start").cast("timestamp_ntz"))
+
+
+@add("r2_mining_statistics", """
+WITH k AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS cand FROM lineitem WHERE l_linenumber <= 5), c AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS cand FROM lineitem WHERE l_linenumber >= 3),
+n AS (SELECT k.* FROM k WHERE k.src <> k.cand AND NOT EXISTS (SELECT 1 FROM c WHERE c.src = k.src AND c.cand = k.cand)), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cand DESC) AS rn FROM n)
+SELECT (SELECT count(*) FROM k) AS candidates, (SELECT count(*) FROM r WHERE rn <= 2) AS kept, (SELECT count(DISTINCT src) FROM k WHERE src NOT IN (SELECT src FROM r)) AS without_negative,
+  (SELECT count(*) FROM k) - (SELECT count(*) FROM r WHERE rn <= 2) AS dropped""")
+def _(spark, d):
+    lines = t(spark, d, "lineitem")
+    candidates = lines.where("l_linenumber <= 5").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("cand")).distinct().withColumn("score", F.col("cand"))
+    edges = lines.where("l_linenumber >= 3").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    kept = graph.exclude_cited(candidates, edges, "src", "cand", "dst", "score", 2)
+    return graph.negative_statistics(candidates, kept, candidates, "src")
+
+
+@add("j13_negative_texts", """
+WITH r AS (SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS INTEGER) AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY rank) AS ids, sha256(string_agg(p_name, '|' ORDER BY rank)) AS names FROM r JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    pairs = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")))
+    out = graph.attach_texts(ranked, t(spark, d, "part"), "l_orderkey", "l_partkey", "p_partkey", "p_name")
+    ids = F.array_join(F.transform("negative_ids", lambda x: x.cast("string")), ",")
+    return out.select("l_orderkey", ids.alias("ids"), F.sha2(F.array_join("negatives", "|"), 256).alias("names"))
+
+
+@add("d8_a12_cluster_sizes", f"""
+WITH RECURSIVE {SIGNED}, l AS (SELECT a, b FROM e WHERE estimate >= 0.85 UNION ALL SELECT b, a FROM e WHERE estimate >= 0.85),
+r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT root, count(*) AS members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, (SELECT count(*) FROM e) AS pairs_scored FROM m GROUP BY root""")
+def _(spark, d):
+    sigs = dedup.cut(dedup.signatures(t(spark, d, "documents"), "doc_id", "text"))
+    pairs, _ = dedup.candidate_pairs(dedup.band_rows(sigs, "doc_id"), "doc_id")
+    scored = dedup.cut(dedup.scored_pairs(pairs, sigs, "doc_id"))
+    members = dedup.clusters(scored.where("estimate >= 0.85"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
+    return members.groupBy("root").agg(F.count("*").alias("members"), ids.alias("ids")).join(F.broadcast(scored.agg(F.count("*").alias("pairs_scored"))))
+
+
+@add("a8_host_yield", """
+SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, count(*) AS seen, count(*) FILTER (length(html) >= 2000) AS accepted, round(avg(CASE WHEN length(html) >= 2000 THEN 1 ELSE 0 END), 6) AS rate,
+  CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1""")
+def _(spark, d):
+    from ..functions.text import host
+
+    ok = F.length("html") >= 2000
+    return t(spark, d, "pages").groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("seen"), F.count_if(ok).alias("accepted"), F.round(F.avg(ok.cast("int")), 6).alias("rate"), F.sum(F.length("html").cast("long")).alias("chars"))

@@ -15,6 +15,11 @@ def hashed(expr: str, seed: int = 17) -> str:
     return f"md5('{seed}|' || CAST({expr} AS VARCHAR))"
 
 
+def listed(column: str):
+    """Numbers of a list as text; engines print lists differently."""
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
 @add("w1_keep_latest", """
 SELECT user_id, event_id, ts, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
@@ -49,14 +54,16 @@ def _(spark, d):
     return spine.summary(t(spark, d, "documents"), {"n_en": c("lang") == "en", "n_long": c("n_chars") >= 1000}, {"share_src0": c("source") == "src0"})
 
 
-@add("a4_cited_sets", "SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem GROUP BY l_orderkey")
+@add("a4_cited_sets", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey")
 def _(spark, d):
-    return graph.cited_sets(t(spark, d, "lineitem"), "l_orderkey", "l_partkey", "parts")
+    out = graph.cited_sets(t(spark, d, "lineitem"), "l_orderkey", "l_partkey", "parts")
+    return out.withColumn("parts", listed("parts"))
 
 
-@add("a5_citer_sets", "SELECT l_partkey, list_sort(list(DISTINCT l_orderkey)) AS orders FROM lineitem GROUP BY l_partkey")
+@add("a5_citer_sets", "SELECT l_partkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS orders FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_partkey")
 def _(spark, d):
-    return graph.cited_sets(t(spark, d, "lineitem"), "l_partkey", "l_orderkey", "orders")
+    out = graph.cited_sets(t(spark, d, "lineitem"), "l_partkey", "l_orderkey", "orders")
+    return out.withColumn("orders", listed("orders"))
 
 
 @add("a7_char_sums", """
@@ -111,11 +118,12 @@ def _(spark, d):
 
 
 @add("j8_forbidden", """
-WITH f AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS forbidden FROM lineitem GROUP BY l_orderkey)
+WITH f AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS forbidden FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey)
 SELECT o_orderkey AS l_orderkey, o_custkey, forbidden FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")
 def _(spark, d):
     pairs = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return graph.attach_forbidden(pairs, t(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+    out = graph.attach_forbidden(pairs, t(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+    return out.withColumn("forbidden", listed("forbidden"))
 
 
 @add("j9_members_only", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

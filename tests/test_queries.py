@@ -9,7 +9,7 @@ from corpusloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
-SLOW = {"d4_d6_scored_pairs", "d5_skipped_buckets", "d7_clusters"}  # their SQL is slow; d3 has the same signatures
+SLOW = {"d4_d6_scored_pairs", "d5_skipped_buckets", "d7_clusters", "d8_a12_cluster_sizes"}  # their SQL is slow; d3 has the same signatures
 
 
 @pytest.fixture(scope="module")
