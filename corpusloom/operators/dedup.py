@@ -82,7 +82,7 @@ def band_rows(sigs: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS) -
 def candidate_pairs(bands: DataFrame, key: str, most: int = 500) -> tuple[DataFrame, DataFrame]:
     """(a, b) distinct pairs that share a bucket, and the buckets that were skipped for having more than ``most`` members.
 
-    The reference operator skips crowded buckets; what is skipped is returned and not only lost.
+    Crowded buckets are skipped by definition of this operator; what is skipped is returned and not only lost.
     """
     sizes = bands.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     skipped = sizes.where(F.col("size") > most)

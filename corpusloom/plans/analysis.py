@@ -376,7 +376,7 @@ def _(spark, d):
 
 @add("x1_windowed_counts", "SELECT date_trunc('hour', ts) AS w_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
-    """Beyond the reference: event-time windows."""
+    """Event-time windows; not a parity item."""
     events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return incremental.windowed_counts(events).withColumn("w_start", F.col("w_start").cast("timestamp_ntz"))
 

@@ -22,7 +22,7 @@ def process_new_files(spark: SparkSession, source: str, schema: str, sink: str,
 
 
 def windowed_counts(events: DataFrame, stamp: str = "ts", by: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts by event-time window with a watermark; on a batch table the watermark has no effect. Beyond the reference."""
+    """Counts by event-time window with a watermark; on a batch table the watermark has no effect."""
     return events.withWatermark(stamp, late).groupBy(F.window(stamp, size).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("w_start"), by, "n")
 
 
