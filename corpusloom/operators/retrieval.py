@@ -144,3 +144,9 @@ def usable_cache(cache: DataFrame, protocol: dict) -> DataFrame:
     for name in ("digest", "n", "max_tokens"):
         out = out.where(F.col(name) == F.lit(protocol[name]))
     return out
+
+
+def cached_vectors(cache: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors of the wanted ids that are in the cache, wanted rows that are not): joined by id, so order and count of the cache do not matter."""
+    ids = wanted.select(key).distinct()
+    return cache.join(ids, key, "left_semi"), wanted.join(cache.select(key).distinct(), key, "left_anti")

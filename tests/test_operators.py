@@ -152,3 +152,22 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
             spark.range(10, extra).write.mode("append").parquet(at["in"])
         incremental.process_new_files(spark, at["in"], "id long", at["out"], at["ck"], lambda s: s.where("id % 2 = 0"), 2)
     assert sorted(r.id for r in spark.read.parquet(at["out"]).collect()) == list(range(0, 20, 2))
+
+
+def test_cached_vectors_go_by_id(spark):
+    cache = spark.createDataFrame([(3, [0.3]), (1, [0.1]), (9, [0.9])], "id long, v array<double>")
+    found, missing = retrieval.cached_vectors(cache, spark.createDataFrame([(1,), (2,), (3,)], "id long"), "id")
+    assert sorted((r.id, r.v) for r in found.collect()) == [(1, [0.1]), (3, [0.3])] and [r.id for r in missing.collect()] == [2]
+
+
+def test_package_and_sinks(spark, tmp_path):
+    df = spark.range(20).selectExpr("id", "id % 3 AS part")
+    manifest = readers.training_package(df, str(tmp_path / "p"), 5, "id")
+    assert sorted(r.id for r in readers.table(spark, str(tmp_path / "p"), "id").collect()) == [0, 1, 2, 3, 4]
+    assert manifest["rows"] == 5 and all(len(h) == 64 for h in manifest["files"].values())
+    readers.write_table(df, str(tmp_path / "q"), "part")
+    assert readers.recursive_table(spark, str(tmp_path / "q"), "id long").count() == 20
+    readers.write_json(df, str(tmp_path / "j"))
+    assert readers.json_lines(spark, str(tmp_path / "j"), "id long, part long").count() == 20
+    done = spark.createDataFrame([(1,)], "id long")
+    assert readers.pending_units(df, done, "id").count() == 19
