@@ -18,58 +18,159 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import read_table, stored
+from ._text import U, Words, chunks, fingerprints, raw_bytes, words
 
 EOS = 2
 SEQ_LEN = 4096
 #: Tokens of a part, about; a part is what one task packs.
 PART_TOKENS = 1_000_000
+#: Parts at most: beyond, they grow.
+MAX_PARTS = 50_000
 #: A task holds queues of about so many tokens, besides single longer documents.
 BUFFER_TOKENS = 4_000_000
 #: A source that is served gets so many tokens at least.
 MIN_PIECE = 64
-#: White-space chunks up to this length are remembered, so many of them.
-CACHED_CHARS, CACHED_CHUNKS = 40, 1_000_000
+#: Chunks that a worker remembers, at most.
+CACHED_CHUNKS = 2_000_000
+#: Spaces and line feeds end a chunk; other white space is the tokenizer's business.
+BREAKS = np.zeros(256, dtype=bool)
+BREAKS[[0x20, 0x0A]] = True
+
+
+#: Words of letters that are encoded together.
+LINE = 512
+#: Classes of bytes between which a piece may end: ASCII letters, digits, other signs; 0 where none may (white space, non-ASCII).
+KINDS = np.zeros(256, dtype=np.uint8)
+KINDS[0x21:0x7F] = 3
+KINDS[0x30:0x3A] = 2
+KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = 1
+
+
+def pieces_of(found: Words, raw: np.ndarray) -> Words:
+    """Chunks cut where two classes meet; chunks with an apostrophe or a bar stay whole and keep their capitals."""
+    if not len(raw):
+        return found
+    kinds = KINDS[raw]
+    cut = np.zeros(len(raw) + 1, dtype=bool)
+    cut[1:-1] = (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
+    special = np.concatenate([[0], np.cumsum((raw == 0x27) | (raw == 0x7C))])
+    data = found.data.copy()
+    for k in np.flatnonzero(special[found.ends] > special[found.starts]).tolist():
+        a, b = found.starts[k], found.ends[k]
+        cut[a:b], data[a:b] = False, raw[a:b]
+    begins, stops = cut.copy(), cut.copy()
+    begins[found.starts], stops[found.ends] = True, True
+    # a class never changes inside white space, so all other marks are inside chunks
+    starts, ends = np.flatnonzero(begins[:-1]), np.flatnonzero(stops[1:]) + 1
+    return Words(data, starts, ends, np.searchsorted(starts, found.offsets), found.offsets)
+
 
 class Encoder:
-    """Ids of a text. Pieces of this vocabulary never cross white space, so chunks between spaces are encoded once each."""
+    """Ids of texts. This vocabulary's tokens cross neither white space nor a change between ASCII letters, digits and signs.
+
+    So a text is cut there, and each distinct piece is encoded once and then looked up. Chunks with an apostrophe
+    (contractions) or a bar (special tokens) stay whole. Pieces are known by 64-bit fingerprints, A-Z in lower
+    case as the vocabulary has it, in two sorted tables: many old ones and a few new ones.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, eos: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for chunk in text.replace("\n", " ").split(" "):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                if len(chunk) <= CACHED_CHARS:
-                    if len(known) >= CACHED_CHUNKS:
-                        known.clear()
-                    known[chunk] = ids
-            out += ids
+        self.tokenizer, self.eos = Tokenizer.from_file(path), eos
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        empty = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+        self.tables = [empty, empty]  # fingerprints and entries, sorted
+        self.pool, self.used = np.array([self.eos], dtype="<u4"), 1
+        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)  # by entry; entry 0 is the end
+
+    def entries(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each fingerprint, -1 for unknown ones."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        for keys, entry in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                out[hit] = entry[at[hit]]
         return out
 
-
-_encoders: dict[str, Encoder] = {}
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and how many each has.
+
+        Words of letters are encoded in lines: each has exactly one token that ends a word. Where a line's count of those is
+        another, and for all other pieces, they are encoded one by one.
+        """
+        ids: list[np.ndarray | None] = [None] * len(pieces)
+        plain = [k for k, x in enumerate(pieces) if x.isalpha()]
+        for i in range(0, len(plain), LINE):
+            own = plain[i : i + LINE]
+            line = np.array(self.tokenizer.encode(" ".join([pieces[k] for k in own]), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[line]) + 1
+            if len(ends) == len(own) and ends[-1] == len(line):
+                for k, x in zip(own, np.split(line, ends[:-1]), strict=True):
+                    ids[k] = x
+        for k, x in enumerate(pieces):
+            if ids[k] is None:
+                ids[k] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4")
+        return np.concatenate(ids) if ids else np.zeros(0, dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        ids, sizes = self.encoded(pieces)
+        entry = len(self.starts) + np.arange(len(sizes))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used + len(ids), dtype="<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        old, new = self.tables
+        new = np.concatenate([new[0], h]), np.concatenate([new[1], entry])
+        changed = [(1, new)]
+        if len(new[0]) * 4 > len(old[0]):
+            changed = [(0, (np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])))]
+            self.tables[1] = new[0][:0], new[1][:0]
+        for k, (keys, entries) in changed:
+            order = np.argsort(keys, kind="stable")
+            self.tables[k] = keys[order], entries[order]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, each with the end at last, one after another, and where each text's begin and end."""
+        raw, _ = raw_bytes(texts)
+        found = pieces_of(words(texts, BREAKS), raw)
+        if len(self.starts) > CACHED_CHUNKS:
+            self.clear()
+        h = fingerprints(found.data, found.starts, found.ends)
+        entry = self.entries(h)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            fresh, first = np.unique(h[missing], return_index=True)
+            spans = missing[first]
+            self.learn(fresh, [found.data[a:b].tobytes().decode() for a, b in zip(found.starts[spans], found.ends[spans], strict=True)])
+            entry[missing] = self.entries(h[missing])
+        entry = np.insert(entry, found.bounds[1:], 0)
+        sizes = self.sizes[entry]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[entry] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], found.bounds[1:] + np.arange(1, len(found.bounds))])]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def tokenise(path: str, eos: int):
     """Rows (doc_id, source, text) to (doc_id, source, n, ids); ids are 32-bit little-endian with ``eos`` last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoders.get((path, eos)) or _encoders.setdefault((path, eos), Encoder(path, eos))
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [np.array([*encode(t or ""), eos], dtype="<u4") for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["doc_id", "source", "n", "ids"],
-                )
+            for part in chunks(batch, "text"):
+                ids, bounds = encoder.batch(part.column(2))
+                buffers = [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, buffers)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds)), packed], names=["doc_id", "source", "n", "ids"])
 
     return run
 
@@ -100,25 +201,33 @@ class Packer:
             self.deficit[s] += size * share
         offset = 0
         while offset < size:
-            s = max(self.queues, key=lambda x: (self.deficit[x], x))
             active = sum(self.share.get(x, 0.0) for x in self.queues) or 1.0
-            # its deficit, or its share of a window among the sources that have something left
-            quantum = max(MIN_PIECE, int(self.deficit[s]) if self.deficit[s] >= MIN_PIECE else int(size * self.share.get(s, 0.0) / active))
-            while quantum > 0 and offset < size and s in self.queues:
-                item = self.queues[s][0]
-                doc_id, ids, start = item
-                take = min(quantum, size - offset, len(ids) - start)
-                self.rows.append((doc_id, start, take, ids[start : start + take].tobytes(), len(ids), s, self.sequence, offset, size))
-                offset, quantum = offset + take, quantum - take
-                self.deficit[s] -= take
-                self.waiting -= take
-                item[2] = start + take
-                if item[2] == len(ids):
-                    self.queues[s].popleft()
-                    if not self.queues[s]:
-                        del self.queues[s]
+            for s in sorted(self.queues, key=lambda x: (-self.deficit[x], x)):
+                if offset == size:
+                    break
+                # its deficit, or its share of a window among the sources that have something left
+                own = self.deficit[s] if self.deficit[s] >= MIN_PIECE else size * self.share.get(s, 0.0) / active
+                offset += self.serve(s, min(size - offset, max(MIN_PIECE, int(own))), offset, size)
         self.sequence += 1
 
+    def serve(self, source: str, quantum: int, offset: int, size: int) -> int:
+        """Move up to ``quantum`` tokens of a source into the sequence; how many it had."""
+        queue, given = self.queues[source], 0
+        while queue and given < quantum:
+            item = queue[0]
+            doc_id, ids, start = item
+            take = min(quantum - given, len(ids) - start)
+            self.rows.append((doc_id, start, take, ids[start : start + take].tobytes(), len(ids), source, self.sequence, offset + given, size))
+            item[2] = start + take
+            given += take
+            if item[2] == len(ids):
+                queue.popleft()
+        if not queue:
+            del self.queues[source]
+        self.deficit[source] -= given
+        self.waiting -= given
+        return given
+
     def drain(self, keep: int) -> None:
         """Full sequences while more than ``keep`` tokens wait; at the end (0) the rest in sequences that are powers of two."""
         while self.waiting > max(keep, self.seq_len - 1):
@@ -179,7 +288,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, weights:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     table = stored(base.mapInArrow(tokenise(tokenizer_path, eos), "doc_id long, source string, n long, ids binary"), "tokens")
     total = table.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // part_tokens))
+    parts = min(MAX_PARTS, max(1, -(-total // part_tokens)))
     part_of = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.when(F.col("doc_id").isNull(), F.xxhash64("ids"))), F.lit(parts)).cast("int")
 
     sums = stored(table.groupBy(part_of.alias("part"), "source").agg(F.sum("n").alias("n")), "part-sums")

@@ -60,3 +60,21 @@ def test_repeated_rows_missing_ids_and_no_rows(spark):
     assert sum(r.length for r in pieces) == sum({(r.doc_id, r.start, r.sequence_id, r.offset): r.length for r in pieces}.values()) == 3 + 3 + 2
     assert all(r.ids_crc32 >= 0 for r in pieces) and zlib.crc32(b"") == 0
     assert m.pack(df.limit(0), m.default_tokenizer()).count() == 0
+
+
+def test_cached_pieces_equal_the_tokenizer():
+    import pyarrow as pa
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    encoder = m.Encoder(m.default_tokenizer(), m.EOS)
+    letters = st.sampled_from(list("aBz09.,'|<>%-\t\n  éÉßΣσςİi̇́　…·١日😀") + ["'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "abc", "ABC", "12", " \n", "é", "क़"])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(letters, max_size=12).map("".join), max_size=4))
+    def same(texts):
+        ids, bounds = encoder.batch(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, m.EOS]
+
+    same()
