@@ -18,9 +18,15 @@ N_PERM, SEED, BANDS, ROWS, MODULUS = 128, 17, 16, 8, 2**31 - 1
 SHINGLE = 5
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are cores; unchanged, without a shuffle, for larger inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def exact_groups(df: DataFrame, key: str, text: str, unicode: bool = True) -> DataFrame:
     """(key, first_id, copies): each row's exact group by its smallest id; hot groups are summed before the shuffle."""
-    keyed = df.select(key, exact_key(F.coalesce(text, F.lit("")), unicode).alias("__k"))
+    keyed = spread(df.select(key, text)).select(key, exact_key(F.coalesce(text, F.lit("")), unicode).alias("__k"))
     groups = keyed.groupBy("__k").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
     return keyed.join(groups, "__k").select(key, "first_id", "copies")
 
@@ -36,7 +42,7 @@ def shingles(w: Column, text: Column) -> Column:
 
 def hashed_shingles(df: DataFrame, key: str, text: str, unicode: bool = True) -> DataFrame:
     """(key, h): hashes of each text's shingles."""
-    norm = df.select(key, F.coalesce(text, F.lit("")).alias("__t")).withColumn("__n", normal_form(F.col("__t"), unicode))
+    norm = spread(df.select(key, text)).select(key, F.coalesce(text, F.lit("")).alias("__t")).withColumn("__n", normal_form(F.col("__t"), unicode))
     cut_up = norm.select(key, "__t", F.filter(F.split("__n", " "), lambda x: x != "").alias("__w"))
     return cut_up.select(key, F.transform(shingles(F.col("__w"), F.col("__t")), shingle_hash).alias("h"))
 
