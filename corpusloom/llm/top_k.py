@@ -1,8 +1,8 @@
 """Exact inner-product search over vectors in descending length.
 
 Vectors are stored by descending length. Queries go in blocks, each against all vectors. A block carries, for every query, a
-lower bound of its k-th score, from the longest vectors. A task reads its vectors in descending order and ends when
-the Cauchy-Schwarz bound |q| |c| rules out all that follows; in between, inner products of the leading dimensions
+lower bound of its k-th score, from the longest vectors. A task skips the slices whose longest vector
+the Cauchy-Schwarz bound |q| |c| rules out, in whatever order it reads files; in the others, inner products of the leading dimensions
 of an SVD rotation plus the product of the residual lengths rule out single pairs. What is left is scored in integers.
 """
 
@@ -76,9 +76,10 @@ def search(shared, k: int):
         for batch in (b for whole in batches for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS))):
             vectors, their = matrix(batch.column(1), d), np.asarray(batch.column(0))
             lengths = np.sqrt((vectors**2).sum(axis=1))
-            which = np.flatnonzero(length * lengths[0] * slack + 1 >= best.floor)
-            if not len(which):  # all that follows is shorter
-                break
+            # a task may read several files in any order, so a slice is skipped by its own longest vector and nothing ends the task
+            which = np.flatnonzero(length * lengths.max() * slack + 1 >= best.floor)
+            if not len(which):
+                continue
             columns = np.arange(len(their))
             if rotate:
                 head = vectors @ rotation[:, :lead]

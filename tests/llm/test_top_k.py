@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import top_k
 from corpusloom.llm.top_k import OP9_SQL, exact_top_k, op9_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
@@ -42,3 +43,23 @@ def test_query_equals_its_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert sorted(map(tuple, op9_top_k(spark, sf).collect())) == sorted(con.execute(OP9_SQL).fetchall())
+
+
+@pytest.mark.parametrize("batch", ["40", "10000"])
+def test_several_files_in_one_read_task(spark, monkeypatch, batch):
+    """The files of the longest vectors are the smallest, so Spark reads them last; slices end at files' borders or straddle them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x[::6] = 30 * np.round(x[rng.integers(0, 3, 100)])  # long and repeated: small files
+    rows = [(i, [float(f) for f in r], 1) for i, r in enumerate(x)]
+    monkeypatch.setattr(top_k, "PART_ROWS", 100)
+    confs = {"spark.sql.files.minPartitionNum": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    for c, value in confs.items():
+        spark.conf.set(c, value)
+    try:
+        got = exact_top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 50, 5)
