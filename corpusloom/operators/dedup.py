@@ -16,6 +16,8 @@ from ..functions.text import exact_key, normal_form
 #: Signature length, seed, bands and rows; the modulus keeps products below 2**62.
 N_PERM, SEED, BANDS, ROWS, MODULUS = 128, 17, 16, 8, 2**31 - 1
 SHINGLE = 5
+#: Members of a bucket that are dealt to one group, about.
+BLOCK = 512
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -85,10 +87,10 @@ def band_rows(sigs: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS) -
     return sigs.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.band", "c.bucket")
 
 
-def candidate_pairs(bands: DataFrame, key: str, most: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(a, b) distinct pairs that share a bucket, and the buckets that were skipped for having more than ``most`` members.
+def candidate_pairs(bands: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) distinct pairs that share a bucket of at most ``most`` members, and the buckets of more, as a report.
 
-    Crowded buckets are skipped by definition of this operator; what is skipped is returned and not only lost.
+    Whole results come from scored_pairs and near_clusters, which leave no bucket out.
     """
     sizes = bands.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     skipped = sizes.where(F.col("size") > most)
@@ -97,11 +99,115 @@ def candidate_pairs(bands: DataFrame, key: str, most: int = 500) -> tuple[DataFr
     return pairs.select("a", "b").distinct(), skipped
 
 
-def scored_pairs(pairs: DataFrame, sigs: DataFrame, key: str, n_perm: int = N_PERM) -> DataFrame:
-    """(a, b, estimate): share of equal signature values."""
-    left, right = sigs.select(F.col(key).alias("a"), F.col("signature").alias("sa")), sigs.select(F.col(key).alias("b"), F.col("signature").alias("sb"))
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (equal / F.lit(float(n_perm))).alias("estimate"))
+def signature_classes(sigs: DataFrame, key: str) -> DataFrame:
+    """(key, rep): the smallest key of the same signature."""
+    keyed = sigs.where(F.col(key).isNotNull()).select(key, F.md5(F.array_join("signature", ",")).alias("__s"))
+    return cut(keyed.join(keyed.groupBy("__s").agg(F.min(key).alias("rep")), "__s").select(key, "rep"))
+
+
+def every_pair(ids: list, sig: np.ndarray, sides: np.ndarray, band: int, rows: int) -> Iterator[tuple]:
+    """(a, b, equal values) of a block's pairs of different sides, or of all if there is one side, whose first common band this is."""
+    one = sides.min() == sides.max()
+    for r in range(len(ids)) if one else np.flatnonzero(sides == sides.min()):
+        others = np.arange(r + 1, len(ids)) if one else np.flatnonzero(sides != sides[r])
+        same = sig[others] == sig[r]
+        first = same.reshape(len(others), sig.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band
+        for o, n in zip(others[first].tolist(), same[first].sum(axis=1).tolist(), strict=True):
+            yield min(ids[r], ids[o]), max(ids[r], ids[o]), n
+
+
+def spanning_pairs(ids: list, sig: np.ndarray, threshold: float) -> Iterator[tuple]:
+    """(a, b, equal values) of enough links of a block to connect all that its links of ``threshold`` connect.
+
+    Rows that have joined the first row's part are not compared: each row that stays outside it meets all others.
+    """
+    part = np.arange(len(ids))
+    for r in range(len(ids)):
+        if r and part[r] == part[0]:
+            continue
+        equal = (sig == sig[r]).sum(axis=1)
+        new = np.flatnonzero((equal / float(sig.shape[1]) >= threshold) & (part != part[r]))
+        parts, first = np.unique(part[new], return_index=True)
+        for o in new[first].tolist():
+            yield ids[r], ids[o], int(equal[o])
+        part[np.isin(part, parts)] = part[r]
+
+
+def bucket_pairs(sigs: DataFrame, key: str, threshold: float | None = None, rows: int = ROWS) -> DataFrame:
+    """(a, b, equal) of signatures that share a bucket: all pairs, each once, or links that span those of ``threshold``.
+
+    Signatures should differ. A bucket is dealt in groups of about BLOCK members, and each two groups meet in one block, so no bucket is skipped
+    and no task holds more than two groups; shuffled rows grow with a bucket's square over BLOCK.
+    """
+    kind, n_bands = dict(sigs.dtypes)[key], N_PERM // rows
+    bands = band_rows(sigs, key, n_bands, rows)
+    sizes = bands.groupBy("band", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"), F.count("*").alias("size")).where("size > 1").drop("size")
+    dealt = bands.join(sizes, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64(key), F.col("groups")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = cut(dealt.select(key, "band", "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"))
+    blocks = dealt.join(sigs.select(key, F.col("signature").cast("array<int>").alias("signature")), key)
+    blocks = blocks.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
+    blocks = blocks.select("band", F.concat_ws(" ", "bucket", "i", "j").alias("block"), F.col("i") != F.col("j"), "side", key, "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(block: list[tuple]) -> Iterator[tuple]:
+            _, band, two = block[0][0]
+            ids, sig, sides = [x[2] for x in block], np.stack([x[3] for x in block]), np.array([x[1] for x in block])
+            if two and sides.min() == sides.max():
+                return iter(())  # the other group is empty; this one meets itself in its own block
+            return every_pair(ids, sig, sides, band, rows) if threshold is None else spanning_pairs(ids, sig, threshold)
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            a, b, n = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, ids_type), pa.array(b, ids_type), pa.array(n, pa.int32())], names=["a", "b", "equal"])
+
+        block, found, ids_type = [], [], None
+        for batch in batches:
+            ids_type = batch.schema.field(4).type
+            sig = np.asarray(batch.column(5).flatten()).reshape(batch.num_rows, N_PERM)
+            heads = zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for head, side, name, own in zip(heads, batch.column(3).to_pylist(), batch.column(4).to_pylist(), sig, strict=True):
+                if block and block[0][0] != head:
+                    for pair in met(block):
+                        found.append(pair)
+                        if len(found) >= 50_000:
+                            yield out(found)
+                            found = []
+                    block = []
+                block.append((head, side, name, own))
+        for pair in met(block) if block else ():
+            found.append(pair)
+        if found:
+            yield out(found)
+
+    return blocks.mapInArrow(run, f"a {kind}, b {kind}, equal int")
+
+
+def class_pairs(sigs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) of each signature's class and (a, b, equal) of all representatives that share a bucket."""
+    members = signature_classes(sigs, key)
+    return members, cut(bucket_pairs(sigs.join(members.where(F.col(key) == F.col("rep")).select(key), key), key))
+
+
+def pair_count(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pairs_scored): how many rows scored_pairs has, from its class_pairs and without writing the classes' pairs out."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    across = pairs.join(sizes.withColumnsRenamed({"rep": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n": "nb"}), "b").select((F.col("na") * F.col("nb")).alias("n"))
+    both = across.unionByName(sizes.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs_scored"))
+
+
+def scored_pairs(sigs: DataFrame, key: str, n_perm: int = N_PERM) -> DataFrame:
+    """(a, b, estimate): share of equal signature values of all pairs that share a bucket.
+
+    Equal signatures are compared once, by their smallest key, and their pairs are written out at the end.
+    """
+    members, pairs = class_pairs(sigs, key)
+    left, right = members.select(F.col("rep").alias("ra"), F.col(key).alias("x")), members.select(F.col("rep").alias("rb"), F.col(key).alias("y"))
+    across = pairs.withColumnsRenamed({"a": "ra", "b": "rb"}).join(left, "ra").join(right, "rb")
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("equal") / F.lit(float(n_perm))).alias("estimate"))
+    within = left.join(right, F.col("ra") == F.col("rb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("estimate"))
+    return across.unionByName(within)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -134,9 +240,16 @@ def clusters(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_clusters(df: DataFrame, key: str, text: str, threshold: float = 0.85, unicode: bool = True) -> DataFrame:
+    """(id, root) of texts that share a bucket and an estimate of at least ``threshold``, over any number of links; no bucket is left out."""
     sigs = cut(signatures(df, key, text, unicode=unicode))
-    pairs, _ = candidate_pairs(band_rows(sigs, key), key)
-    return clusters(scored_pairs(pairs, sigs, key).where(F.col("estimate") >= threshold))
+    members = signature_classes(sigs, key)
+    links = bucket_pairs(sigs.join(members.where(F.col(key) == F.col("rep")).select(key), key), key, threshold)
+    return clusters(class_links(members, links, key))
+
+
+def class_links(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(a, b) of links between representatives and from each to its class."""
+    return links.select("a", "b").unionByName(members.where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b")))
 
 
 def candidate_order(lic: Column, journal_ref: Column, doi: Column, arxiv_id: Column, parse_quality: Column, length: Column, index: Column) -> Column:

@@ -57,8 +57,7 @@ e AS (SELECT c.a, c.b, sum(CASE WHEN x.m = y.m THEN 1 ELSE 0 END) / 128.0 AS est
 @add("d4_d6_scored_pairs", f"WITH {SIGNED} SELECT a, b, CAST(estimate AS DOUBLE) AS estimate FROM e")
 def _(spark, d):
     sigs = dedup.cut(dedup.signatures(t(spark, d, "documents"), "doc_id", "text"))
-    pairs, _ = dedup.candidate_pairs(dedup.band_rows(sigs, "doc_id"), "doc_id")
-    return dedup.scored_pairs(pairs, sigs, "doc_id")
+    return dedup.scored_pairs(sigs, "doc_id")
 
 
 @add("d5_skipped_buckets", f"""
@@ -413,11 +412,10 @@ r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON
 SELECT root, count(*) AS members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, (SELECT count(*) FROM e) AS pairs_scored FROM m GROUP BY root""")
 def _(spark, d):
     sigs = dedup.cut(dedup.signatures(t(spark, d, "documents"), "doc_id", "text"))
-    pairs, _ = dedup.candidate_pairs(dedup.band_rows(sigs, "doc_id"), "doc_id")
-    scored = dedup.cut(dedup.scored_pairs(pairs, sigs, "doc_id"))
-    members = dedup.clusters(scored.where("estimate >= 0.85"))
+    classes, pairs = dedup.class_pairs(sigs, "doc_id")
+    members = dedup.clusters(dedup.class_links(classes, pairs.where(F.col("equal") / F.lit(float(dedup.N_PERM)) >= 0.85), "doc_id"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return members.groupBy("root").agg(F.count("*").alias("members"), ids.alias("ids")).join(F.broadcast(scored.agg(F.count("*").alias("pairs_scored"))))
+    return members.groupBy("root").agg(F.count("*").alias("members"), ids.alias("ids")).join(F.broadcast(dedup.pair_count(classes, pairs)))
 
 
 @add("a8_host_yield", """

@@ -3,8 +3,10 @@
 import gzip
 import io
 import math
+import random
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,43 @@ def test_near_clusters(spark):
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]
 
 
+def test_crowded_buckets_are_whole(spark):
+    """A group of 700 copies and one of 600 near copies: each shares its buckets with more than 500."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(9000)}"
+    same, base = " ".join(word() for _ in range(40)), [word() for _ in range(300)]
+    rows = [(i, same) for i in range(700)]
+    for i in range(700, 1300):
+        own = list(base)
+        for _ in range(i % 3 + 3 * (i % 50 == 0)):
+            own[rng.randrange(300)] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(i, " ".join(word() for _ in range(30))) for i in range(1300, 1310)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    sigs = dedup.cut(dedup.signatures(df, "id", "t"))
+    held = {r.id: np.array(r.signature) for r in sigs.collect()}
+    ids = sorted(held)
+    sig, expected, root = np.stack([held[i] for i in ids]), {}, list(ids)
+    for a in ids:
+        equal = sig[a + 1 :] == sig[a]
+        meet = equal.reshape(len(equal), dedup.BANDS, dedup.ROWS).all(axis=2).any(axis=1)
+        for b in (np.flatnonzero(meet) + a + 1).tolist():
+            expected[a, b] = equal[b - a - 1].sum() / 128.0
+    for _ in ids:
+        before = list(root)
+        for (a, b), e in expected.items():
+            if e >= 0.85:
+                root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    linked = {x for p, e in expected.items() if e >= 0.85 for x in p}
+    assert {r.id: r.root for r in dedup.near_clusters(df, "id", "t").collect()} == {i: root[i] for i in linked}
+    assert len(linked) > 1200
+    got = dedup.scored_pairs(sigs, "id").collect()
+    assert len(got) == len(expected) and {(r.a, r.b): r.estimate for r in got} == expected
+    assert dedup.pair_count(*dedup.class_pairs(sigs, "id")).first().pairs_scored == len(expected)
+
+
 def test_audit_of_sources(spark):
     src = spark.createDataFrame([(1, r"\newcommand{\E}{\mathcal{E}} $\E = 1$ $a=b+c$")], "k int, tex string")
     out = spark.createDataFrame([(1, r"$\mathcal{E}=1$")], "k int, tex string")
