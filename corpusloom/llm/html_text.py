@@ -2,8 +2,8 @@
 
 The standard library's parser streams events; each block of a page becomes a line with its text, its tags
 and the elements it stands in. The lines' text-to-tag ratios are smoothed with a Gaussian and split by a threshold
-into content and rest. The content lines vote for the element that is the article; all its lines are the text, so
-short paragraphs between long ones stay, except those in parts that are marked as something else.
+into content and rest. The text is all lines of the articles (or of main) that hold most of the content, or else of the innermost element
+that holds all of it, so short paragraphs between long ones stay, except those in parts that are marked as something else.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from ._store import read_table
 
 #: Width of the Gaussian in lines, and the share of the mean ratio's deviation that a content line must exceed.
 SIGMA, THRESHOLD = 1.0, 0.5
-#: The article is the innermost element that holds at least this share of the content lines' characters.
-SHARE = 0.8
+#: Articles or mains are taken if they hold this share of the content lines' characters; a marked wrapper of this share of the text is no other part,
+#: and neither is one of WRAPPED that holds the only articles.
+SHARE, WRAPPED = 0.8, 0.5
 
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist audio video map".split())
 UNWANTED = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -35,16 +36,22 @@ MARKS = re.compile(
     r"|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|respond|reply|replies|disqus|widgets?|toolbar|pager|pagination|search"
     r"|complementary|navigation|contentinfo|skip)(?:$|[\s_-])"
 )
+#: Names that tell how a page is laid out: has-sidebar, no-sidebar, layout-with-menu.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]")
 HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|top|topbar|head)(?:$|[\s_-])")
 #: A tag that the page's end cuts off is no text.
 CUT_OFF = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 
 
+#: What a part is by its tag and attributes; names are only a hint.
+WANTED, MARKED, OUT = 0, 1, 2
+
+
 class Line:
-    __slots__ = ("text", "tags", "linked", "holder", "unwanted", "ratio")
+    __slots__ = ("text", "tags", "linked", "holder", "marked", "ratio")
 
-    def __init__(self, text: str, tags: int, linked: int, holder: int, unwanted: bool):
-        self.text, self.tags, self.linked, self.holder, self.unwanted = text, tags, linked, holder, unwanted
+    def __init__(self, text: str, tags: int, linked: int, holder: int, marked: bool):
+        self.text, self.tags, self.linked, self.holder, self.marked = text, tags, linked, holder, marked
         self.ratio = 0.0
 
 
@@ -54,35 +61,37 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # holder, number, unwanted, in an article
+        self.open: list[tuple[str, int, bool]] = []  # holder, number, in an article
         self.names, self.parents = [""], [0]  # by number; 0 is the page
+        self.wants = [WANTED]
+        self.within = [False]  # in an article around
         self.tags = self.linked = self.links = 0
         self.skip: list[str] = []
         self.inline: list[str] = []  # marked elements that hold no blocks
         self.parts: list[str] = []
 
-    def _unwanted(self, tag: str, attrs: list) -> bool:
-        inside = bool(self.open) and self.open[-1][3]
+    def _wants(self, tag: str, attrs: list) -> int:
+        inside = bool(self.open) and self.open[-1][2]
         if tag in UNWANTED or tag == "header" and not inside:
-            return True
+            return OUT
         if tag in ("html", "body", "main", "article"):
-            return False
+            return WANTED
+        out = WANTED
         for name, value in attrs:
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
+                return OUT
             if value and name in ("class", "id", "role", "aria-label"):
-                low = value.lower()
+                low = " ".join(x for x in value.lower().split() if not LAYOUT.search(x))
                 if MARKS.search(low) or not inside and HEADER_MARKS.search(low):
-                    return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
-                return True
-        return False
+                    out = MARKED
+        return out
 
     def cut(self) -> None:
         """End the line; its white space becomes single spaces."""
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            top = self.open[-1] if self.open else ("", 0, False, False)
-            self.lines.append(Line(text, self.tags, self.linked, top[1], top[2] or bool(self.inline)))
+            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, bool(self.inline)))
             self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -100,13 +109,13 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         if tag in HOLDERS:
-            before = self.open[-1] if self.open else ("", 0, False, False)
+            before = self.open[-1] if self.open else ("", 0, False)
             self.names.append(tag)
             self.parents.append(before[1])
-            # a comment's article or a marked part stays what the part around it is
-            unwanted = before[2] or self._unwanted(tag, attrs)
-            self.open.append((tag, len(self.names) - 1, unwanted, before[3] or tag in ("article", "main")))
-        elif tag not in VOID and self._unwanted(tag, attrs):
+            self.wants.append(self._wants(tag, attrs))
+            self.within.append(before[2])
+            self.open.append((tag, len(self.names) - 1, before[2] or tag in ("article", "main")))
+        elif tag not in VOID and self._wants(tag, attrs) != WANTED:
             self.cut()
             self.inline.append(tag)
 
@@ -167,31 +176,67 @@ def content_lines(lines: list[Line], sigma: float, threshold: float) -> list[Lin
     return [x for x in lines if x.ratio >= limit]
 
 
+def sums_of(parser: Lines, lines: list[Line]) -> list[int]:
+    """Characters of the lines in each holder and in all that it holds."""
+    out = [0] * len(parser.names)
+    for x in lines:
+        out[x.holder] += len(x.text)
+    for holder in range(len(out) - 1, 0, -1):  # numbers grow inwards
+        out[parser.parents[holder]] += out[holder]
+    return out
+
+
+def downwards(parser: Lines, own: list[bool]) -> list[bool]:
+    """Holders that are, or stand in, one of ``own``."""
+    out = list(own)
+    for holder in range(1, len(out)):
+        out[holder] = out[holder] or out[parser.parents[holder]]
+    return out
+
+
+def wanted_lines(parser: Lines, share: float) -> list[Line]:
+    """Lines outside unwanted parts. A comment's article or a marked part stays what the part around it is.
+
+    Where no article or main is free of marks, a marked part that holds most of the page's text is its wrapper.
+    """
+    n = range(len(parser.names))
+    out = downwards(parser, [w == OUT for w in parser.wants])
+    under = downwards(parser, [w != WANTED for w in parser.wants])
+    articles = [parser.names[h] in ("article", "main") and not out[h] for h in n]
+    if not any(articles[h] and not under[h] for h in n):
+        sums = sums_of(parser, [x for x in parser.lines if not out[x.holder] and not x.marked])
+        holds = list(articles)
+        for h in reversed(n):
+            holds[parser.parents[h]] = holds[parser.parents[h]] or holds[h]
+        wraps = [parser.wants[h] == MARKED and not parser.within[h] and sums[h] > 0 and sums[h] >= (WRAPPED if holds[h] else share) * sums[0] for h in n]
+        under = downwards(parser, [w != WANTED and not wraps[h] for h, w in enumerate(parser.wants)])
+    return [x for x in parser.lines if not under[x.holder] and not x.marked]
+
+
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE) -> str:
     parser = Lines()
     parser.feed(CUT_OFF.sub("", html))
     parser.close()
     parser.cut()
-    wanted = [x for x in parser.lines if not x.unwanted]
+    wanted = wanted_lines(parser, share)
     if not wanted:
         return ""
     content = content_lines(wanted, sigma, threshold) or wanted
-    total = sum(len(x.text) for x in content)
-    votes = [0] * len(parser.names)
-    for x in content:
-        votes[x.holder] += len(x.text)
-    for holder in range(len(votes) - 1, 0, -1):  # numbers grow inwards
-        votes[parser.parents[holder]] += votes[holder]
-    # a list, table or quotation is part of an article and not one; an article or main is taken rather than its sections
-    good = [h for h, v in enumerate(votes) if v >= share * total and parser.names[h] in ("body", "main", "article", "section", "div", "center", "html")]
-    named = [h for h in good if parser.names[h] == "article"] or [h for h in good if parser.names[h] == "main"] or good
-    if not named:
-        return "\n".join(x.text for x in wanted)
-    root = max(named)
-    inside = [False] * len(votes)
-    for holder in range(1, len(votes)):
-        inside[holder] = holder == root or inside[parser.parents[holder]]
-    return "\n".join(x.text for x in wanted if inside[x.holder])
+    votes = sums_of(parser, content)
+    roots: list[bool] = []
+    for name in ("article", "main"):  # all parts of an article that is given in parts
+        own = [parser.names[h] == name and votes[h] > 0 for h in range(len(votes))]
+        inside = downwards(parser, own)
+        if sum(len(x.text) for x in content if inside[x.holder]) >= share * votes[0]:
+            roots = inside
+            break
+    if not roots:
+        # the innermost element of all content lines; a list, table or quotation is part of an article and not one
+        whole = [h for h, v in enumerate(votes) if v == votes[0] and parser.names[h] in ("body", "main", "article", "section", "div", "center", "html")]
+        if not whole:
+            return "\n".join(x.text for x in wanted)
+        roots = downwards(parser, [h == max(whole) for h in range(len(votes))])
+    return "\n".join(x.text for x in wanted if roots[x.holder])
 
 
 def extract(sigma: float, threshold: float, share: float):

@@ -32,6 +32,22 @@ def test_parts_that_are_no_article():
     assert main_text(page) == f"Head & line\nFirst {w}\nShort.\nOne\nTwo\nLast {w}"
 
 
+def test_endings_and_wrappers_stay():
+    w = LONG.strip()
+    ten, two = " ".join([w] * 10), " ".join([w] * 2)
+    side = f"<div class='sidebar'><p>{LONG}</p></div>"
+    assert main_text(f"<body><div class=post><section><p>{ten}</p></section><section><h2>End</h2><p>short ending</p></section></div></body>") == f"{ten}\nEnd\nshort ending"
+    assert main_text(f"<body><article><p>{ten}</p></article>{side}<article><p>{two}</p></article></body>") == f"{ten}\n{two}"
+    for name in ("content has-sidebar", "no-sidebar", "layout-with-menu"):
+        assert main_text(f"<body><div class='{name}'><article><p>{ten}</p></article>{side}</div></body>") == ten
+        assert main_text(f"<body><div class='{name}'><p>{ten}</p><p>x</p></div>{side}</body>") == f"{ten}\nx"
+    assert main_text(f"<body><div class='search page'><div><p>{ten}</p><p>{ten}</p></div></div><div class=foot>tiny</div></body>") == f"{ten}\n{ten}"
+    assert main_text(f"<body><div class='social page'><article><p>{ten}</p><div class='share'>Share it</div></article></div></body>") == ten
+    # what is marked and no wrapper stays out
+    assert main_text(f"<body><div><p>{ten}</p></div><div class='comments'><p>{ten}</p></div></body>") == ten
+    assert main_text(f"<body><div class='related'><article><p>{LONG}</p></article></div><div><p>{ten}</p></div></body>") == ten
+
+
 def test_broken_pages(spark):
     deep = "<div>" * 20_000 + f"<p>{LONG}" * 3
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>cut &lt;off <b"), (4, "u", deep), (4, "u", deep), (None, None, "plain"), (6, "u", "<script>x")]
