@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,9 @@ def audit_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count("*").alias("documents"), s("n_source").alias("equations"), rate("preserved").alias("preserved_rate"), rate("absent").alias("absent_rate"), rate("discordant").alias("discordant_rate"))
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from 32 bits of MD5."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+def drawn(seed: int, *keys: Column) -> Column:
+    """The first 32 bits of MD5 as eight hexadecimal digits, which compare as the numbers do."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 8)
 
 
 def bootstrap_ratio(rows: DataFrame, key: str, part: str, whole: str, resamples: int = 1000, seed: int = 17, least: int = 30) -> DataFrame:
@@ -46,13 +47,13 @@ def bootstrap_ratio(rows: DataFrame, key: str, part: str, whole: str, resamples:
     never meet in one task and the result can be repeated. Null bounds below ``least`` documents.
     """
     draws = rows.select(key, part, whole).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = uniform(seed, F.col("b"), F.col(key))
+    draws = draws.withColumn("__u", drawn(seed, F.col("b"), F.col(key)))
     steps, total, term = [], 0.0, 2.718281828459045**-1
     for k in range(8):
         total += term
         steps.append(total)
         term /= k + 1
-    weight = sum(((u >= F.lit(x)).cast("int") for x in steps), F.lit(0))
+    weight = sum(((F.col("__u") >= F.lit(f"{math.ceil(x * 2**32):08x}")).cast("int") for x in steps), F.lit(0))
     sums = draws.withColumn("__w", weight).groupBy("b").agg(F.sum(F.col("__w") * F.col(part)).alias("p"), F.sum(F.col("__w") * F.col(whole)).alias("q"))
     rates = sums.select(F.when(F.col("q") > 0, F.col("p") / F.col("q")).otherwise(0.0).alias("r"))
     bounds = rates.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))

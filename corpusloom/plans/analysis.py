@@ -261,6 +261,13 @@ def _(spark, d):
     return audit.bootstrap_ratio(rows, "k", "p", "w", 40)
 
 
+#: All orders with the operator's own number of resamples; no SQL, as that of l15_bootstrap holds for a tenth of them and 40.
+@add("l15_bootstrap_whole")
+def _(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("p"), F.lit(1).alias("w"))
+    return audit.bootstrap_ratio(rows, "k", "p", "w")
+
+
 SOURCES = [
     (1, r"\newcommand{\E}{\mathcal{E}} \begin{equation} \E = m c^{2} \label{a} \end{equation} % $x=1$" + "\n" + r"and $a \le b$ so \[ \dfrac{1}{2} \]"),
     (2, r"$E_{\rm cin} = \tfrac12 m v_{0}^2$ and $\mathbf{A} \cdot \mathbf{B} = c$"),

@@ -1,8 +1,10 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
+import hashlib
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpusloom.plans import registry
@@ -46,6 +48,19 @@ def test_query_without_sql_has_rows(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
 
 
+def test_bootstrap_of_all_orders_equals_brute_force(spark, sf, duck):
+    orders = duck.execute("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) FROM orders").fetchall()
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    own, rates = np.array([p for _, p in orders]), []
+    for b in range(1, 1001):
+        u = np.array([int(hashlib.md5(f"17|{b}|{k}".encode()).hexdigest()[:8], 16) for k, _ in orders]) / 2.0**32
+        n = np.searchsorted(steps, u, side="right")
+        rates.append((n * own).sum() / n.sum())
+    row = registry.queries()["l15_bootstrap_whole"](spark, sf).first()
+    assert row.documents == len(orders)
+    assert (row.lo, row.hi) == pytest.approx(tuple(np.quantile(rates, [0.025, 0.975])), abs=2e-6)
+
+
 def test_entry_imports_without_a_session():
     import __spark_entry__ as entry
 
