@@ -289,6 +289,12 @@ def _(spark, d):
     return df.select("doc_id", F.sha2(latex.comments_removed(F.col("text")), 256).alias("h"))
 
 
+#: All documents; no SQL, as that of l1_comments holds for a part of them.
+@add("l1_comments_whole")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2(latex.comments_removed(F.col("text")), 256).alias("h"))
+
+
 BUNDLES = [(1, {"main.tex": r"\documentclass{a}\begin{document}\input{b}$x+y=1$\end{document} tail", "b.tex": r"$a=b+c$", "old.tex": "$q=1$"}), (2, {"x.tex": "$a=b$", "y.tex": "text"})]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -61,6 +62,42 @@ def test_bootstrap_of_all_orders_equals_brute_force(spark, sf, duck):
     assert (row.lo, row.hi) == pytest.approx(tuple(np.quantile(rates, [0.025, 0.975])), abs=2e-6)
 
 
+TEXTS = ["% whole line\nkept", "a % b\n% c\nd %% e", r"50\% of it % gone", "\\\\% gone", r"\\\% kept % gone", "no sign", "", None, "tab\x0bthen\x0b \n end ", "x\x1cy\x1fz"]
+
+
+def without_comments(text):
+    """Character by character: a percent sign after an even run of backslashes ends the line."""
+    out, slashes, skip = [], 0, False
+    for c in text:
+        skip = skip and c != "\n" or c == "%" and slashes % 2 == 0
+        slashes = slashes + 1 if c == "\\" and not skip else 0
+        if not skip:
+            out.append(c)
+    return "".join(out)
+
+
+def digest(text):
+    return None if text is None else hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture
+def documents(spark, duck, tmp_path):
+    rows = duck.execute("SELECT doc_id, source, text FROM documents").fetchall()
+    rows += [(1_000_000 + i, "src", x) for i, x in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def test_comments_of_all_documents(spark, documents):
+    got = {r.doc_id: r.h for r in registry.queries()["l1_comments_whole"](spark, documents[0]).collect()}
+    assert got == {i: digest(None if x is None else without_comments(x)) for i, _, x in documents[1]}
+
+
+def test_classifier_text_of_all_documents(spark, documents):
+    got = {r.doc_id: r.h for r in registry.queries()["p9_classifier_text"](spark, documents[0]).collect()}
+    assert got == {i: digest(re.sub(r"[ \t\n\x0b\f\r]+", " ", f"{s or ''}\n{x or ''}").strip(" ")) for i, s, x in documents[1]}
+
+
 def test_entry_imports_without_a_session():
     import __spark_entry__ as entry
 
