@@ -88,3 +88,24 @@ def test_shingles_equal_plain_python(texts):
     for i in range(len(texts)):
         for j in range(i):
             assert len(set(got[i].tolist()) & set(got[j].tolist())) == len(sets[i] & sets[j])
+
+
+def test_fingerprints_tell_structured_words_apart():
+    """Thue-Morse words and their complements, which polynomials modulo 2**64 confuse, blocks in another order, and all short words."""
+    import numpy as np
+
+    from corpusloom.llm import _text
+
+    bits = [0]
+    words = []
+    for _ in range(12):
+        bits += [1 - x for x in bits]
+        words += ["".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)]
+    words += ["12345678abcdefgh", "abcdefgh12345678", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 100_000, "a" * 100_001, "", "\0", "\0\0"]
+    words += [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    words = list(dict.fromkeys(words))
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    got = _text.fingerprints(data, ends - [len(w) for w in words], ends)
+    assert len(set(got.tolist())) == len(words)
+    assert [_text.fingerprint(w) for w in words] == got.tolist()
