@@ -9,8 +9,11 @@ over all earlier parts, into the next part.
 
 from __future__ import annotations
 
+import json
+import os
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import read_table, stored
-from ._text import U, Words, chunks, fingerprints, raw_bytes, words
+from ._text import LOWER, chunks, looked_up, raw_bytes
 
 EOS = 2
 SEQ_LEN = 4096
@@ -30,147 +33,199 @@ MAX_PARTS = 50_000
 BUFFER_TOKENS = 4_000_000
 #: A source that is served gets so many tokens at least.
 MIN_PIECE = 64
-#: Chunks that a worker remembers, at most.
-CACHED_CHUNKS = 2_000_000
-#: Spaces and line feeds end a chunk; other white space is the tokenizer's business.
-BREAKS = np.zeros(256, dtype=bool)
-BREAKS[[0x20, 0x0A]] = True
-
-
+#: Distinct pieces that a worker remembers, at most; bytes of text that are encoded together.
+CACHED_PIECES, TOGETHER = 1_000_000, 4 << 20
 #: Words of letters that are encoded together.
 LINE = 512
-#: Classes of bytes between which a piece may end: ASCII letters, digits, other signs; 0 where none may (white space, non-ASCII).
+#: Classes of bytes: letters, digits, other ASCII signs, spaces and line feeds; 0 for others (other white space is the tokenizer's business).
+LETTER, DIGIT, SIGN, BREAK = 1, 2, 3, 4
 KINDS = np.zeros(256, dtype=np.uint8)
-KINDS[0x21:0x7F] = 3
-KINDS[0x30:0x3A] = 2
-KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = 1
-
-
-def pieces_of(found: Words, raw: np.ndarray) -> Words:
-    """Chunks cut where two classes meet; chunks with an apostrophe or a bar stay whole and keep their capitals."""
+KINDS[0x21:0x7F] = SIGN
+KINDS[0x30:0x3A] = DIGIT
+KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = LETTER
+KINDS[[0x20, 0x0A]] = BREAK
+#: Whether a piece begins at a byte, by 8 times its class and the class of the byte before: after a break, where two known classes meet, at each digit.
+BEGINS = np.zeros(256, dtype=bool)
+for _now in range(4):
+    for _before in range(5):
+        BEGINS[8 * _now + _before] = _before == BREAK or _now and _before and (_now != _before or _now == DIGIT)
+# The parts of a tokenizer's file under which a text may be cut at white space and between those classes.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT_PRE_TOKENIZERS = [{"type": "Split", "pattern": {"Regex": CUT_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def may_cut(spec: dict) -> bool:
+    """Whether a tokenizer's file says that its tokens cross neither white space nor a change between letters, digits and signs."""
+    model = spec.get("model") or {}
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == CUT_NORMALIZERS
+        and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == CUT_PRE_TOKENIZERS
+        and model.get("type") == "BPE" and not model.get("dropout") and model.get("end_of_word_suffix") == "</w>"
+        and not any(spec.get(k) for k in ("truncation", "padding", "post_processor"))
+        and all("|" in x["content"] and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or set(x["content"]) & set(" \n")) for x in spec.get("added_tokens") or ())
+    )
+
+
+def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes without spaces and line feeds, A-Z in lower case; where their pieces begin in them, the end at last; the first piece of each text.
+
+    Chunks with an apostrophe or a bar stay whole and keep their capitals. The two bytes of U+00C0 to U+00FF, but for the signs among them, are letters.
+    """
+    raw, offsets = raw_bytes(texts)
     if not len(raw):
-        return found
-    kinds = KINDS[raw]
-    cut = np.zeros(len(raw) + 1, dtype=bool)
-    cut[1:-1] = (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
-    special = np.concatenate([[0], np.cumsum((raw == 0x27) | (raw == 0x7C))])
-    data = found.data.copy()
-    for k in np.flatnonzero(special[found.ends] > special[found.starts]).tolist():
-        a, b = found.starts[k], found.ends[k]
-        cut[a:b], data[a:b] = False, raw[a:b]
-    begins, stops = cut.copy(), cut.copy()
-    begins[found.starts], stops[found.ends] = True, True
-    # a class never changes inside white space, so all other marks are inside chunks
-    starts, ends = np.flatnonzero(begins[:-1]), np.flatnonzero(stops[1:]) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, found.offsets), found.offsets)
+        return raw, np.zeros(1, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
+    kinds = looked_up(raw, KINDS).copy()
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    before = np.empty_like(kinds)
+    before[1:], before[0] = kinds[:-1], BREAK
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    before[heads] = BREAK
+    begins = looked_up((kinds << 3) + before, BEGINS).copy()
+    data = looked_up(raw, LOWER).copy()
+    special = np.flatnonzero((raw == 0x27) | (raw == 0x7C))
+    if len(special):
+        # the chunk around each such sign: from the last byte after a break to the next break or text
+        edges = np.flatnonzero((before == BREAK) | (kinds == BREAK))
+        at = np.searchsorted(edges, special, side="right")
+        firsts, lasts = edges[at - 1], np.append(edges, len(raw))[at]
+        for a, b in set(zip(firsts.tolist(), lasts.tolist(), strict=True)):
+            begins[a + 1 : b], data[a:b] = False, raw[a:b]
+    kept = kinds != BREAK
+    place = np.cumsum(kept, dtype=np.int32 if len(kept) < 2**31 else np.int64)
+    starts = np.flatnonzero(begins)
+    return data[kept], np.append(place[starts] - 1, place[-1]).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 class Encoder:
-    """Ids of texts. This vocabulary's tokens cross neither white space nor a change between ASCII letters, digits and signs.
+    """Ids of texts.
 
-    So a text is cut there, and each distinct piece is encoded once and then looked up. Chunks with an apostrophe
-    (contractions) or a bar (special tokens) stay whole. Pieces are known by 64-bit fingerprints, A-Z in lower
-    case as the vocabulary has it, in two sorted tables: many old ones and a few new ones.
+    Where the tokenizer's file allows it (``may_cut``), a text is cut into pieces at white space and where classes of signs
+    meet; each distinct piece, compared byte for byte, is encoded once and then looked up. Chunks with an apostrophe (contractions) or a bar
+    (special tokens) stay whole; in all others A-Z is in lower case, as the vocabulary has it. With another tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str, eos: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.eos = Tokenizer.from_file(path), eos
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.tokenizer, self.eos, self.cuts = Tokenizer.from_file(path), eos, may_cut(spec)
+        size = max([eos, *self.tokenizer.get_vocab().values()]) + 1
+        # the same merges without normalisation, for words that are ASCII letters in lower case already
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends_word = np.zeros(size, dtype=bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        empty = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-        self.tables = [empty, empty]  # fingerprints and entries, sorted
-        self.pool, self.used = np.array([self.eos], dtype="<u4"), 1
-        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)  # by entry; entry 0 is the end
-
-    def entries(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each fingerprint, -1 for unknown ones."""
-        out = np.full(len(h), -1, dtype=np.int64)
-        for keys, entry in self.tables:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                out[hit] = entry[at[hit]]
-        return out
+        self.known: dict[bytes, int] = {}
+        self.pool, self.used = np.array([self.eos], dtype=self.type), 1
+        self.starts, self.sizes, self.count = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), 1  # by entry; entry 0 is the end
+
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after another, and how many each has.
 
-        Words of letters are encoded in lines: each has exactly one token that ends a word. Where a line's count of those is
-        another, and for all other pieces, they are encoded one by one.
+        Words of letters are encoded in lines: each has at least one token that ends a word, so a line of as many ends as words has
+        one in each. Where a line has more, and for all other pieces, they are encoded one by one.
         """
-        ids: list[np.ndarray | None] = [None] * len(pieces)
-        plain = [k for k, x in enumerate(pieces) if x.isalpha()]
-        for i in range(0, len(plain), LINE):
-            own = plain[i : i + LINE]
-            line = np.array(self.tokenizer.encode(" ".join([pieces[k] for k in own]), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[line]) + 1
-            if len(ends) == len(own) and ends[-1] == len(line):
-                for k, x in zip(own, np.split(line, ends[:-1]), strict=True):
-                    ids[k] = x
+        sizes, parts, order, alone = [], [], [], []
+        kinds: dict[bool | None, list[int]] = {True: [], False: [], None: alone}
         for k, x in enumerate(pieces):
-            if ids[k] is None:
-                ids[k] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4")
-        return np.concatenate(ids) if ids else np.zeros(0, dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
-
-    def learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        ids, sizes = self.encoded(pieces)
-        entry = len(self.starts) + np.arange(len(sizes))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(self.used + len(ids), dtype="<u4")])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        old, new = self.tables
-        new = np.concatenate([new[0], h]), np.concatenate([new[1], entry])
-        changed = [(1, new)]
-        if len(new[0]) * 4 > len(old[0]):
-            changed = [(0, (np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])))]
-            self.tables[1] = new[0][:0], new[1][:0]
-        for k, (keys, entries) in changed:
-            order = np.argsort(keys, kind="stable")
-            self.tables[k] = keys[order], entries[order]
+            kinds[x.isascii() if x.isalpha() else None].append(k)
+        for letters, tokenizer in ((kinds[True], self.light), (kinds[False], self.tokenizer)):
+            lines = [letters[i : i + LINE] for i in range(0, len(letters), LINE)]
+            got = tokenizer.encode_batch_fast([" ".join([pieces[k] for k in own]) for own in lines], add_special_tokens=False)
+            for own, line in zip(lines, (np.array(x.ids, dtype=self.type) for x in got), strict=True):
+                ends = np.flatnonzero(self.ends_word[line]) + 1
+                if len(ends) == len(own) and ends[-1] == len(line):
+                    parts.append(line)
+                    sizes.append(np.diff(ends, prepend=0))
+                    order += own
+                else:
+                    alone += own
+        for k in alone:
+            parts.append(np.array(self.plain(pieces[k]), dtype=self.type))
+        sizes.append(np.array([len(x) for x in parts[len(parts) - len(alone) :]], dtype=np.int64))
+        order = np.array(order + alone, dtype=np.int64)
+        size, start = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        size[order] = flat = np.concatenate(sizes)
+        start[order] = np.cumsum(flat) - flat
+        return gathered(np.concatenate([*parts, self.pool[:0]]), start, size), size
+
+    def learn(self, pieces: list[bytes]) -> None:
+        ids, sizes = self.encoded([x.decode() for x in pieces])
+        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.starts = grown(self.starts, self.count, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = grown(self.sizes, self.count, sizes)
+        self.pool = grown(self.pool, self.used, ids)
+        self.count, self.used = self.count + len(pieces), self.used + len(ids)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with the end at last, one after another, and where each text's begin and end."""
-        raw, _ = raw_bytes(texts)
-        found = pieces_of(words(texts, BREAKS), raw)
-        if len(self.starts) > CACHED_CHUNKS:
+        if not self.cuts:
+            rows = [np.array([*self.plain(x or ""), self.eos], dtype=self.type) for x in texts.to_pylist()]
+            return np.concatenate([*rows, self.pool[:0]]), np.cumsum([0, *map(len, rows)])
+        data, offsets, firsts = pieces_of(texts)
+        if self.count > CACHED_PIECES:
             self.clear()
-        h = fingerprints(found.data, found.starts, found.ends)
-        entry = self.entries(h)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            fresh, first = np.unique(h[missing], return_index=True)
-            spans = missing[first]
-            self.learn(fresh, [found.data[a:b].tobytes().decode() for a, b in zip(found.starts[spans], found.ends[spans], strict=True)])
-            entry[missing] = self.entries(h[missing])
-        entry = np.insert(entry, found.bounds[1:], 0)
-        sizes = self.sizes[entry]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.starts[entry] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], found.bounds[1:] + np.arange(1, len(found.bounds))])]
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = bytes_of(pieces.dictionary)
+        entry = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        fresh = np.flatnonzero(entry < 0)
+        if len(fresh):
+            entry[fresh] = self.count + np.arange(len(fresh))
+            self.learn([distinct[k] for k in fresh.tolist()])
+        # entry 0 of this batch is the end
+        starts, sizes = self.starts[np.append(0, entry)], self.sizes[np.append(0, entry)]
+        rows = np.insert(np.asarray(pieces.indices).astype(np.int64) + 1, firsts[1:], 0)
+        size = sizes[rows]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        return gathered(self.pool, starts[rows], size), bounds[np.concatenate([[0], firsts[1:] + np.arange(1, len(firsts))])]
+
+
+def bytes_of(values: pa.Array) -> list[bytes]:
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of all, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def grown(values: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``values`` with ``more`` from place ``used`` on; its room doubles when it is full."""
+    if used + len(more) > len(values):
+        values = np.concatenate([values[:used], np.zeros(used + len(more), dtype=values.dtype)])
+    values[used : used + len(more)] = more
+    return values
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def tokenise(path: str, eos: int):
-    """Rows (doc_id, source, text) to (doc_id, source, n, ids); ids are 32-bit little-endian with ``eos`` last."""
+    """Rows (doc_id, source, text) to (doc_id, source, n, ids); ids are little-endian with ``eos`` last, of 16 bits where the vocabulary allows it, else 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get((path, eos)) or _encoders.setdefault((path, eos), Encoder(path, eos))
+        width = encoder.type.itemsize
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TOGETHER):
                 ids, bounds = encoder.batch(part.column(2))
-                buffers = [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
-                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, buffers)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds)), packed], names=["doc_id", "source", "n", "ids"])
+                packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds)), packed.cast(pa.binary())], names=["doc_id", "source", "n", "ids"])
 
     return run
 
@@ -217,7 +272,7 @@ class Packer:
             item = queue[0]
             doc_id, ids, start = item
             take = min(quantum - given, len(ids) - start)
-            self.rows.append((doc_id, start, take, ids[start : start + take].tobytes(), len(ids), source, self.sequence, offset + given, size))
+            self.rows.append((doc_id, start, take, ids[start : start + take].astype("<u4").tobytes(), len(ids), source, self.sequence, offset + given, size))
             item[2] = start + take
             given += take
             if item[2] == len(ids):
@@ -254,7 +309,7 @@ def pack_parts(seq_len: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 cut = batch.slice(i, 512)
-                for part, kind, source, share, deficit, doc_id, ids in zip(*(cut.column(k).to_pylist() for k in range(7)), strict=True):
+                for part, kind, source, share, deficit, doc_id, n, ids in zip(*(cut.column(k).to_pylist() for k in range(8)), strict=True):
                     if packer is None or packer.part != part:
                         if packer is not None:
                             packer.drain(0)
@@ -263,7 +318,7 @@ def pack_parts(seq_len: int):
                     if kind == 0:
                         packer.weigh(source, share, deficit)
                         continue
-                    packer.put(source, doc_id, np.frombuffer(ids, dtype="<u4"))
+                    packer.put(source, doc_id, np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4"))
                     if packer.waiting > BUFFER_TOKENS:
                         packer.drain(BUFFER_TOKENS // 2)
                 if packer is not None and packer.rows:
@@ -305,8 +360,8 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, weights:
     before = everything.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
     own = Window.partitionBy("source").orderBy("part")
     start = sums.withColumn("had", F.sum("n").over(own) - F.col("n")).join(before, "part").join(shares, "source")
-    start = start.select("part", F.lit(0).alias("kind"), "source", "share", (F.col("share") * F.col("before") - F.col("had")).alias("deficit"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ids"))
-    rows = table.select(part_of.alias("part"), F.lit(1).alias("kind"), "source", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("deficit"), "doc_id", "ids")
+    start = start.select("part", F.lit(0).alias("kind"), "source", "share", (F.col("share") * F.col("before") - F.col("had")).alias("deficit"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"))
+    rows = table.select(part_of.alias("part"), F.lit(1).alias("kind"), "source", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("deficit"), "doc_id", "n", "ids")
     rows = start.unionByName(rows).repartitionById(parts, "part").sortWithinPartitions("part", "kind", "doc_id", F.xxhash64("ids"))
     return rows.mapInArrow(pack_parts(seq_len), PIECES)
 

@@ -78,3 +78,39 @@ def test_cached_pieces_equal_the_tokenizer():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, m.EOS]
 
     same()
+
+
+def test_another_vocabulary_encodes_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = m.Encoder(path, 7)
+    assert not encoder.cuts and m.Encoder(m.default_tokenizer(), m.EOS).cuts
+    texts = ["Two  words, it's 12345", None, "", "A\nb é"]
+    pieces = m.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source"), path, eos=7).orderBy("doc_id", "start").collect()
+    plain = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = b"".join(bytes(r.ids) for r in pieces if r.doc_id == i)
+        assert np.frombuffer(ids, dtype="<u4").tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 7]
+
+
+def test_vocabulary_beyond_16_bits_and_forgotten_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["aa bb 12 cc's", None, "aa ÉTÉ, été", ""], pa.string())
+    usual = m.Encoder(m.default_tokenizer(), m.EOS)
+    wide = m.Encoder(m.default_tokenizer(), 70_000)
+    assert usual.type == "<u2" and wide.type == "<u4"
+    ids, bounds = usual.batch(texts)
+    more, same = wide.batch(texts)
+    assert more.tolist() == [70_000 if i in bounds[1:] - 1 else x for i, x in enumerate(ids.tolist())] and bounds.tolist() == same.tolist()
+    monkeypatch.setattr(m, "CACHED_PIECES", 1)
+    assert usual.batch(texts)[0].tolist() == ids.tolist() and usual.count < 12
+
+
+def test_text_longer_than_a_buffer(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUFFER_TOKENS", 500)
+    texts = {1: "long words of a text " * 900, 2: "short one", 3: "long words of another " * 700}
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()], "doc_id long, text string, source string")
+    round_trip(m.pack(df, m.default_tokenizer(), seq_len=64).collect(), texts, 64)
