@@ -48,3 +48,51 @@ def test_query_equals_its_sql(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert sorted(map(tuple, op3_line_dedup(spark, sf).collect())) == sorted(con.execute(OP3_SQL).fetchall())
     assert hashlib.sha256(b"").hexdigest() == con.execute("SELECT sha256('')").fetchone()[0]
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm._store import Scratch, set_for
+    from corpusloom.llm.line_dedup import LineRuns
+
+    def batch(lo, hi):
+        return spark.range(lo, hi).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("first_id")).repartition(4, "h1", "h2")
+
+    with Scratch(spark) as scratch, set_for(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+        runs = LineRuns(scratch, 4)
+        for k in range(7):
+            runs.add(runs.sorted(batch(100 * k, 100 * k + 100), "line-run"))
+        assert [run.count() for run in runs.runs()] == [100, 200, 400]
+        keys = runs.sorted(batch(650, 750), "line-batch")
+        plan = runs.seen(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "- Sort [" not in plan
+        assert runs.seen(keys).where("seen = h2").count() == 50 and runs.seen(keys).where("seen is null").count() == 50
+
+
+def test_very_long_text_that_keeps_its_lines(spark):
+    """200,000 kept lines and some that go: the time is in proportion to the text."""
+    import time
+
+    common = [f"a common line {i}" for i in range(1000)]
+    long = "\n".join(x for i in range(200_000) for x in ([f"an own line {i}"] + ([common[i // 200]] if i % 200 == 0 else [])))
+    began = time.perf_counter()
+    got = run(spark, [(1, "\n".join(common), "x", 1), (2, long, "x", 2)], n_batches=2)
+    assert time.perf_counter() - began < 40
+    assert (got[2, 2].n_lines, got[2, 2].n_dropped) == (201_000, 1000) and got[2, 2].text == "\n".join(f"an own line {i}" for i in range(200_000))
+
+
+def test_hot_lines(spark):
+    rows = [(i, "the one line that all hold\n" + f"own line of {i}" + "\nthe one line that all hold" * (i % 3), "x", i) for i in range(3000)]
+    got = run(spark, rows, n_batches=3)
+    assert got[0, 0].n_dropped == 0 and all(got[i, i].text == f"own line of {i}" and got[i, i].n_dropped == 1 + i % 3 for i in range(1, 3000))
+
+
+def test_nothing_but_the_result_stays(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    run(spark, [(i, f"the same line\nline {i}", "x", i) for i in range(9)])
+    assert {x.split("-")[0] + "-" + x.split("-")[1] for x in set(os.listdir(shared)) - before} == {"lines-gone"}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
