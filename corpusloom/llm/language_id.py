@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import read_table, stored
-from ._text import LOWER, chunks, raw_bytes
+from ._text import LOWER, chunks, looked_up, raw_bytes
+from .toxicity import bounded_sample
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Documents with a declared language that the text models are fitted on, at most: those of the smallest hash of the id.
@@ -33,7 +34,7 @@ ACCEPT = 0.5
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bins of each byte's trigram with its two predecessors, digits and signs as spaces, and the texts' bounds."""
     raw, offsets = raw_bytes(texts)
-    low = LOWER[raw].astype(np.uint32)
+    low = looked_up(raw, LOWER).astype(np.uint32)
     low[(low < 0x61) | ((low > 0x7A) & (low < 0x80))] = 0x20
     one, two = np.full(len(low), 0x20, np.uint32), np.full(len(low), 0x20, np.uint32)
     one[1:], two[2:] = low[:-1], low[:-2]
@@ -117,9 +118,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     declared = F.lower(F.substring(F.col(declared_col), 1, 2)) if declared_col else F.lit(None).cast("string")
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     base = docs.select(F.col(id_col).cast("long").alias("oid"), host.alias("host"), F.when(declared.isin(*languages), declared).alias("declared"), F.col(text_col).alias("text"))
-    rank = F.md5(F.coalesce(F.col("oid").cast("string"), F.lit("")))
-    chosen = base.where("declared is not null and oid is not null").select("oid").orderBy(rank, "oid").limit(max_train)
-    sample = base.join(F.broadcast(chosen.distinct()), "oid", "left_semi").where("declared is not null").orderBy(rank, "oid", "text").select("text", "declared").toArrow()
+    rows = base.where("declared is not null and oid is not null").select(F.col("oid").alias("sid"), F.coalesce("text", F.lit("")).alias("text"), "declared")
+    chosen = rows.select("sid").distinct().orderBy(F.md5(F.col("sid").cast("string")), "sid").limit(max_train)
+    sample = bounded_sample(rows.join(F.broadcast(chosen), "sid", "left_semi"), max_train, "declared")
     model = spark.sparkContext.broadcast(fit(sample.column("text").combine_chunks(), sample.column("declared").to_pylist(), tuple(languages)))
     schema = "oid long, host string, declared string, logs array<double>, letters long"
     table = stored(base.mapInArrow(likelihoods(model), schema), "likelihoods").withColumn("own", F.when(F.col("letters") > 0, normal(F.col("logs"))))

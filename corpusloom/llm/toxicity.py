@@ -21,6 +21,8 @@ from ._text import NON_WORD, U, Words, chunks, fingerprints, words
 
 #: Labelled documents that the model is fitted on, at most: those of the smallest hash of the id.
 MAX_TRAIN = 5_000
+#: Bytes of labelled texts that the driver reads, at most.
+MAX_BYTES = 128 << 20
 #: Strength of the Dirichlet prior in documents, and the likelihood-ratio statistic from which a token may score above 0.
 PRIOR, MIN_RATIO = 10.0, 18.0
 #: Besides whole words, their beginnings of so many bytes are tokens: inflected and compounded words share them.
@@ -78,31 +80,36 @@ def forms(found: Words) -> np.ndarray:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score): one pass, over runs of equal sign."""
+    """All maximal scoring segments (start, end, score): one pass in linear time, over runs of equal sign."""
     above = scores > 0
     if not above.any():
         return []
     cuts = np.flatnonzero(np.diff(above, prepend=not above[0]))
     sums = np.add.reduceat(scores, cuts)
     ends = np.append(cuts[1:], len(scores))
-    stack: list[list[float]] = []  # start, end, total before it, total after it
+    done: list[tuple[int, int, float]] = []
+    # open segments: start, end, total before it, total after it, and the place of the nearest one below it with a smaller total before
+    open_: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for start, end, value in zip(cuts.tolist(), ends.tolist(), sums.tolist(), strict=True):
         if value <= 0:
             total += value
             continue
-        item = [start, end, total, total + value]
-        total += value
+        before, total = total, total + value
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= item[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= item[3]:
-                stack.append(item)
+            k = len(open_) - 1
+            while k >= 0 and open_[k][2] >= before:
+                k = open_[k][4]
+            if k < 0:
+                # nothing open can ever be joined with what follows
+                done += [(a, b, y - x) for a, b, x, y, _ in open_]
+                open_.clear()
+            if k < 0 or open_[k][3] >= total:
+                open_.append((start, end, before, total, k))
                 break
-            item = [stack[k][0], item[1], stack[k][2], item[3]]
-            del stack[k:]
-    return [(int(a), int(b), y - x) for a, b, x, y in stack]
+            start, before = open_[k][0], open_[k][2]
+            del open_[k:]
+    return done + [(a, b, y - x) for a, b, x, y, _ in open_]
 
 
 def found_segments(model: Model, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
@@ -216,12 +223,28 @@ def scorer(shared):
     return run
 
 
+def bounded_sample(rows: DataFrame, n: int, *more: str) -> pa.Table:
+    """(text, ``more``) of at most ``n`` rows (sid, text, ..) and MAX_BYTES of text, the same ones each time: those of the smallest hash of sid.
+
+    Rows of one id, text and ``more`` count once. Which rows are taken is settled without their texts, so the driver never holds more.
+    """
+    keyed = rows.where("sid is not null").withColumn("sh", F.xxhash64("text"))
+    keys = ["sid", "sh", *more]
+    rank = F.md5(F.col("sid").cast("string"))
+    sizes = keyed.groupBy(*keys).agg(F.max(F.octet_length("text")).alias("size")).orderBy(rank, *keys).limit(n).toArrow()
+    within = np.cumsum(np.asarray(sizes.column("size"), dtype=np.int64)) <= MAX_BYTES
+    chosen = rows.sparkSession.createDataFrame(sizes.filter(pa.array(within)).select(keys))
+    got = keyed.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys)
+    return got.orderBy(rank, *keys).select("text", *more).toArrow()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, id_col: str, text_col: str) -> tuple[pa.Array, np.ndarray]:
     """Texts and 0/1 labels of at most ``max_train`` labelled documents, the same ones each time."""
-    picked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("lid"), F.col(label).cast("int").alias("y"))
-    picked = picked.orderBy(F.md5(F.col("lid").cast("string")), "lid", "y").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("lid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "lid")
-    got = rows.orderBy(F.md5(F.col("lid").cast("string")), "lid", "text").select("text", "y").toArrow()
+    picked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("sid"), F.col(label).cast("int").alias("y")).distinct()
+    # that many ids hold enough rows wherever every labelled id has a document
+    picked = picked.orderBy(F.md5(F.col("sid").cast("string")), "sid", "y").limit(max_train)
+    rows = docs.select(F.col(id_col).cast("long").alias("sid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "sid")
+    got = bounded_sample(rows, max_train, "y")
     return got.column("text").combine_chunks(), got.column("y").to_numpy().astype(int)
 
 

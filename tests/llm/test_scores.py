@@ -51,6 +51,41 @@ def test_segments_are_all_maximal():
         assert covered >= set(np.flatnonzero(x > 0).tolist())
 
 
+def maximal(x, lo, hi):
+    """The definition: the best segment (the shortest of the best, as none may begin or end in a part of 0), then the same left and right of it."""
+    best = max(((float(x[i:j].sum()), i - j, -i) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0.0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i = -best[2]
+    j = i - best[1]
+    return maximal(x, lo, i) + [(i, j, best[0])] + maximal(x, j, hi)
+
+
+def test_segments_equal_their_definition():
+    rng = np.random.default_rng(1)
+    for k in range(600):
+        x = rng.normal(size=rng.integers(1, 25)) - 0.2 * (k % 3)
+        assert [(a, b, round(s, 9)) for a, b, s in toxicity.segments(x)] == [(a, b, round(s, 9)) for a, b, s in maximal(x, 0, len(x))]
+
+
+def test_segments_of_a_very_long_text_take_linear_time():
+    import time
+
+    for x in (np.tile([1.0, -2.0], 500_000), np.tile([2.0, -1.0], 500_000), np.tile([3.0, -1.0, 1.0, -3.5], 250_000)):
+        began = time.perf_counter()
+        found = toxicity.segments(x)
+        assert time.perf_counter() - began < 10 and sum(s for *_, s in found) > 0
+
+
+def test_driver_reads_a_bounded_sample(spark, monkeypatch):
+    """One id very often, with one text and with many; and texts beyond the bytes."""
+    rows = spark.range(3000).selectExpr("1L AS sid", "'the same text' AS text", "1 AS y").unionByName(spark.range(3000).selectExpr("2L AS sid", "concat('text ', id) AS text", "0 AS y"))
+    assert toxicity.bounded_sample(rows, 50, "y").num_rows <= 50
+    assert toxicity.bounded_sample(rows.where("sid = 1"), 50, "y").to_pylist() == [{"text": "the same text", "y": 1}]
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 100)
+    assert 0 < sum(len(r["text"]) for r in toxicity.bounded_sample(rows, 50, "y").to_pylist()) <= 100
+
+
 def test_language_of_documents(spark):
     docs = read_table(spark, SF, "documents")
     rows = language_id.language_id(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
