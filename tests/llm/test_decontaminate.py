@@ -13,14 +13,14 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_marks_equal_the_sql(spark, limit):
     docs = [(i, t) for i, t in DOCS if i is not None and t != "other text"]
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": [r[0] for r in docs], "text": pa.array([r[1] for r in docs], pa.string())}))
     con.register("benchmark", pa.table({"item_id": [r[0] for r in BENCH], "text": pa.array([r[1] for r in BENCH], pa.string())}))
     expected = {r[0]: (r[1], r[2], r[3], r[5]) for r in con.execute(OP7_SQL).fetchall()}
-    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string"), max_broadcast=limit)
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string"), max_broadcast_bytes=limit)
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out.collect()} == expected
 
 
@@ -47,3 +47,27 @@ def test_query_equals_its_sql(spark, sf):
     for name in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     assert sorted(map(tuple, op7_decontaminate(spark, sf).collect())) == sorted(con.execute(OP7_SQL).fetchall())
+
+
+def test_very_long_texts_take_linear_time(spark):
+    import time
+
+    filler = "some other words that stand in no test item at all "
+    body = filler * 60_000  # 660,000 words
+    rows = [(1, body + ITEM + " " + filler + "tiny item", "x"), (2, (ITEM + " ") * 20_000, "x"), (3, body, "x")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, w string"), spark.createDataFrame(BENCH, "item_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(docs, bench).collect()}
+    assert got == {1: (660_025, 14, ["10", "2", "5"]), 2: (240_000, 240_000, ["10", "5"]), 3: (660_000, 0, [])}
+    spans = {r.doc_id: r.text for r in decontaminate(docs, bench, "spans").collect()}
+    assert spans == {1: (body + filler).strip(), 2: "", 3: body}
+    assert time.perf_counter() - began < 60
+
+
+def test_windows_of_many_lengths(spark):
+    """Items of 1 to 12 words, each at both ends and in the middle of a text."""
+    words = [f"k{i}x" for i in range(200)]
+    items = [(m, " ".join(words[10 * m : 10 * m + m])) for m in range(1, 13)]
+    docs = [(m, f"{t} b c d {t} e f {t}") for m, t in items] + [(100, "b c d e f")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == {m: (3 * m, [str(m)]) for m, _ in items} | {100: (0, [])}
