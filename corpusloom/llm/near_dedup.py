@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import read_table, shuffle_parts, stored
+from ._store import Scratch, read_table, shuffle_parts, stored
 from ._text import SPACE, U, chunks, mix, words
 from .components import connected_components
 
@@ -29,8 +29,8 @@ ADDENDS = _rng.integers(0, 2**63, BANDS * ROWS // 2, dtype=np.int64).astype(U)
 PLACES = _rng.integers(0, 2**63, SHINGLE + BANDS * ROWS + 1, dtype=np.int64).astype(U) * U(2) + U(1)
 #: Counters of shingles for the order of the prefix filter, at most; sizes of sets whose ratio is below this share a class.
 COUNTERS, SIZE_STEP = 1 << 20, 1.04
-#: Pairs of one pivot that a task takes together.
-SALT_ROWS = 2048
+#: Pairs of one pivot that a task takes together: a share of a task's mean, and at least so many, as each group reads the pivot's text.
+SALT_SHARE, SALT_ROWS = 0.5, 16
 
 _BLOCK = 2048
 
@@ -136,21 +136,22 @@ def compare(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (oid, pivot) that are links, as (a, b); texts is (oid, text).
 
-    A pivot's pairs are dealt to as many groups as they fill with SALT_ROWS; each group gets the pivot's text.
+    A pivot's pairs are dealt to as many groups as they fill with SALT_SHARE of a task's mean; each group gets the pivot's text.
     """
-    spark = pairs.sparkSession
+    parts = shuffle_parts(pairs.sparkSession)
     pairs = pairs.withColumn("salt", F.lit(0))
-    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    big = stored(many.where("salts > 1"), "salts")  # at most pairs / SALT_ROWS rows
+    rows = max(SALT_ROWS, int(pairs.count() * SALT_SHARE / parts))
+    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / rows).cast("int").alias("salts"))
+    big = scratch.stored(many.where("salts > 1"), "salts")
     pairs = pairs.join(big.hint("merge"), "pivot", "left")
     members = pairs.select("oid", "pivot", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("oid"), F.col("salts")).cast("int")).otherwise(0).alias("salt"), F.lit(1).alias("kind"))
     heads = many.select(F.col("pivot").alias("oid"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    wanted = stored(members.unionByName(heads), "wanted")
+    wanted = scratch.stored(members.unionByName(heads), "wanted")
     rows = texts.join(wanted.hint("merge"), "oid").select("pivot", "salt", "kind", "oid", "text")
-    rows = rows.repartition(shuffle_parts(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", "kind")
+    rows = rows.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "kind")
     return rows.mapInArrow(compare(percent), "a long, b long").distinct()
 
 
@@ -209,13 +210,13 @@ def prefixes(shared, percent: int):
     return run
 
 
-def prefix_pairs(texts: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(oid, pivot) of all texts (oid, label, text) of different labels that may be linked."""
     spark = texts.sparkSession
     counted = texts.mapInArrow(shingle_counters, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
     counters = np.zeros(COUNTERS, dtype=np.int32)
     counters[np.asarray(counted.column("bin"))] = np.minimum(np.asarray(counted.column("n")), 2**31 - 1)
-    rows = stored(texts.mapInArrow(prefixes(spark.sparkContext.broadcast(counters), percent), PREFIX), "prefixes")
+    rows = scratch.stored(texts.mapInArrow(prefixes(spark.sparkContext.broadcast(counters), percent), PREFIX), "prefixes")
     a = rows.where("small").select("token", "step", F.col("oid").alias("oa"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = rows.where("not small").select("token", "step", F.col("oid").alias("ob"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     c = F.col
@@ -233,48 +234,52 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     any of its texts, and each row is returned. Rows without an id have no links, no component and are kept. Only the id and the
     text are read, so other columns do not matter. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(_components(docs, percent, id_col, text_col, scratch), "near-duplicates")
+
+
+def _components(docs: DataFrame, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("oid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = stored(texts.mapInArrow(sketch, SKETCH), "sketch")
+    table = scratch.stored(texts.mapInArrow(sketch, SKETCH), "sketch")
 
     # classes of equal sets
     usable = table.where("oid is not null and n > 0")
     classes = usable.groupBy("n", "d1", "d2").agg(F.min("oid").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
-    classes = stored(classes, "classes")
+    classes = scratch.stored(classes, "classes")
     member = usable.select("oid", "n", "d1", "d2").join(classes.hint("merge"), ["n", "d1", "d2"]).select("oid", "rep").where("oid <> rep").distinct()
-    member = stored(member, "members")
+    member = scratch.stored(member, "members")
     alone = usable.join(classes.hint("merge"), ["n", "d1", "d2"], "left").where("rep is null or rep = oid")
 
     buckets = alone.select("oid", F.explode("bands").alias("key")).distinct()
     counts = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    counts = stored(counts, "bucket-sizes")
-    buckets = stored(buckets.join(counts.hint("merge"), "key"), "buckets")
+    counts = scratch.stored(counts, "bucket-sizes")
+    buckets = scratch.stored(buckets.join(counts.hint("merge"), "key"), "buckets")
 
     # an id may stand for several sets (rows that share it): its first label is the smallest of their classes
     labels = usable.select("oid").distinct().select(F.col("oid").alias("v"), F.col("oid").alias("label"))
     edges = [member.select(F.col("oid").alias("a"), F.col("rep").alias("b"))]
     if not buckets.isEmpty():
-        some = stored(texts.join(buckets.select("oid").distinct().hint("merge"), "oid", "left_semi"), "bucket-texts")
+        some = scratch.stored(texts.join(buckets.select("oid").distinct().hint("merge"), "oid", "left_semi"), "bucket-texts")
         popular = buckets.groupBy("oid").agg(F.sum("size").alias("popular"))
         ranked = buckets.select("oid", "key").join(popular, "oid")
         heads = ranked.groupBy("key").agg(F.max(F.struct("popular", (-F.col("oid")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
-        pairs = buckets.select("oid", "key").join(stored(heads, "pivots").hint("merge"), "key").where("oid <> pivot").select("oid", "pivot").distinct()
-        pairs = stored(pairs, "pairs")
-        edges.append(stored(verified(pairs, some, percent), "links"))
+        pairs = buckets.select("oid", "key").join(scratch.stored(heads, "pivots").hint("merge"), "key").where("oid <> pivot").select("oid", "pivot").distinct()
+        pairs = scratch.stored(pairs, "pairs")
+        edges.append(scratch.stored(verified(pairs, some, percent, scratch), "links"))
         links = edges[0].unionByName(edges[1])
-        labels = connected_components(labels, links)
-        state = stored(buckets.select("oid", "key").join(labels.select(F.col("v").alias("oid"), "label"), "oid"), "states")
+        labels = connected_components(labels, links, scratch)
+        state = scratch.stored(buckets.select("oid", "key").join(labels.select(F.col("v").alias("oid"), "label"), "oid"), "states")
         mixed = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
-        mixed = stored(mixed, "open-keys")
+        mixed = scratch.stored(mixed, "open-keys")
         if not mixed.isEmpty():
             waiting = state.join(mixed.hint("merge"), "key", "left_semi").select("oid", "label").distinct()
-            open_texts = stored(waiting.join(some, "oid"), "open-texts")
-            pairs = stored(prefix_pairs(open_texts, percent), "pairs")
+            open_texts = scratch.stored(waiting.join(some, "oid"), "open-texts")
+            pairs = scratch.stored(prefix_pairs(open_texts, percent, scratch), "pairs")
             if not pairs.isEmpty():
-                more = stored(verified(pairs, open_texts.select("oid", "text"), percent), "links")
-                labels = connected_components(labels, links.unionByName(more))
+                more = scratch.stored(verified(pairs, open_texts.select("oid", "text"), percent, scratch), "links")
+                labels = connected_components(labels, links.unionByName(more), scratch)
     else:
-        labels = connected_components(labels, edges[0])
+        labels = connected_components(labels, edges[0], scratch)
 
     out = table.select("oid", "n").join(labels.select(F.col("v").alias("oid"), "label"), "oid", "left")
     component = F.coalesce(F.col("label"), F.col("oid"))

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import near_dedup as m
+from corpusloom.llm._store import Scratch
 from corpusloom.llm.components import connected_components
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -70,7 +71,8 @@ def test_long_chain_of_components(spark):
     n = 300
     nodes = spark.range(n).selectExpr("id AS v", "id AS label")
     edges = spark.range(n - 1).selectExpr("(id * 7) % 300 AS a", "((id + 1) * 7) % 300 AS b")
-    assert {r.label for r in connected_components(nodes, edges).collect()} == {0}
+    with Scratch(spark) as scratch:
+        assert {r.label for r in connected_components(nodes, edges, scratch).collect()} == {0}
 
 
 @settings(max_examples=60, deadline=None)
@@ -109,3 +111,43 @@ def test_fingerprints_tell_structured_words_apart():
     got = _text.fingerprints(data, ends - [len(w) for w in words], ends)
     assert len(set(got.tolist())) == len(words)
     assert [_text.fingerprint(w) for w in words] == got.tolist()
+
+
+def test_very_long_texts_and_only_the_result_stays(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    rng = random.Random(9)
+    long = [rng.choice(WORDS) for _ in range(300_000)]
+    other = list(long)
+    for k in range(0, 300_000, 100):  # 1 % of the words: about 5 % of the shingles
+        other[k] = "changed"
+    rows = [(5, " ".join(long)), (2, " ".join(other)), (9, " ".join(long[:200_000])), (7, "short text of six words only")]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {5: 2, 2: 2, 9: 9, 7: 7}
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before} == {"near-duplicates"}
+
+
+def test_pairs_of_a_hot_pivot_are_dealt_out(spark):
+    """One group of 400 near copies: no task of the comparison gets more than a few times the mean."""
+    rng = random.Random(4)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        own[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(own)))
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 400)], "oid long, pivot long")
+    texts = spark.createDataFrame(rows, "oid long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        with Scratch(spark) as scratch:
+            m.verified(pairs, texts, 85, scratch).count()
+            wanted = spark.read.parquet(next(x for x in scratch.paths if "wanted" in x))
+            assert wanted.where("kind = 1").groupBy("salt").count().agg({"count": "max"}).first()[0] <= 3 * m.SALT_ROWS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = m.near_duplicates(texts, id_col="oid").collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)
