@@ -1,6 +1,6 @@
 """Exact inner-product search over vectors in descending length.
 
-Vectors are stored by descending length. Queries go in blocks, each against all vectors. A block carries, for every query, a
+Vectors are stored by descending length. Queries go in blocks, each against all vectors, several blocks in one job. A block carries, for every query, a
 lower bound of its k-th score, from the longest vectors. A task skips the slices whose longest vector
 the Cauchy-Schwarz bound |q| |c| rules out, in whatever order it reads files; in the others, inner products of the leading dimensions
 of an SVD rotation plus the product of the residual lengths rule out single pairs. What is left is scored in integers.
@@ -9,16 +9,19 @@ of an SVD rotation plus the product of the residual lengths rule out single pair
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import read_table, stored
+from ._store import Scratch, read_table, stored
 
 #: Queries of a block, about; the longest vectors that give the first bounds; vectors that are scored at a time.
 BLOCK, SEEDS, ROWS = 8192, 2048, 4096
+#: Blocks whose searches run in one job; so many broadcasts are held at a time.
+WAVE = 8
 #: Rows of a stored partition, about.
 PART_ROWS = 100_000
 #: Leading dimensions of the rotation, as a share; pairs that it must rule out to be worth it.
@@ -124,24 +127,34 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     Components count as floor(scale * x). Queries are the rows that ``is_query`` (an expression of vec_id) names; a query's
     candidates are all rows of other ids and of as many components. Ties go to the smaller id; with fewer candidates
     all are returned. Rows without an id, without a vector, or with null or non-finite components take no part. Repeated rows
-    are candidates each and queries each. Other columns are not read; an empty table gives no rows. A score
+    are candidates each and queries each, in whatever order files are read. Other columns are not read; an empty table gives no rows. A score
     beyond 64 bits is an error.
     """
     spark = vectors.sparkSession
-    table = stored(whole_vectors(vectors, id_col, vec_col, scale), "vectors")
-    out = None
-    for d, n in sorted((r[0], r[1]) for r in table.groupBy("d").count().collect()):
-        own = table.where(F.col("d") == d)
-        by_length = own.select("vec_id", "v", "length").repartitionByRange(max(1, -(-n // PART_ROWS)), F.col("length").desc(), "vec_id")
-        by_length = stored(by_length.sortWithinPartitions(F.col("length").desc(), "vec_id"), "vectors-by-length")
-        sums = own.select("v").mapInArrow(gram(d), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow()  # d * d rows
-        rotation = np.linalg.svd(np.asarray(sums.column("v")).reshape(d, d))[0] if d else np.zeros((0, 0))
-        seeds = by_length.orderBy(F.col("length").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow().combine_chunks()
-        seed_ids = np.asarray(seeds.column("vec_id")).astype(np.int64)
-        seed_rows = matrix(seeds.column("v").combine_chunks(), d) if d else np.zeros((len(seed_ids), 0))
-        queries = by_length.where(is_query).select("vec_id", "v")
-        blocks = max(1, -(-queries.count() // BLOCK))
-        for b in range(blocks):
+    results = []
+    with Scratch(spark) as scratch:
+        table = scratch.stored(whole_vectors(vectors, id_col, vec_col, scale), "vectors")
+        for d, n in sorted((r[0], r[1]) for r in table.groupBy("d").count().collect()):
+            own = table.where(F.col("d") == d)
+            by_length = own.select("vec_id", "v", "length").repartitionByRange(max(1, -(-n // PART_ROWS)), F.col("length").desc(), "vec_id")
+            by_length = scratch.stored(by_length.sortWithinPartitions(F.col("length").desc(), "vec_id"), "vectors-by-length")
+            results += blocks_of(by_length, by_length.where(is_query).select("vec_id", "v"), d, k)
+    return reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def blocks_of(by_length: DataFrame, queries: DataFrame, d: int, k: int) -> list[DataFrame]:
+    """Stored results (query_id, rank, vec_id, score) of all queries. WAVE blocks of queries, each with a broadcast of its own, run in one job."""
+    spark = by_length.sparkSession
+    sums = by_length.select("v").mapInArrow(gram(d), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow()  # d * d rows
+    rotation = np.linalg.svd(np.asarray(sums.column("v")).reshape(d, d))[0] if d else np.zeros((0, 0))
+    seeds = by_length.orderBy(F.col("length").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow().combine_chunks()
+    seed_ids = np.asarray(seeds.column("vec_id")).astype(np.int64)
+    seed_rows = matrix(seeds.column("v").combine_chunks(), d) if d else np.zeros((len(seed_ids), 0))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    results = []
+    for wave in range(0, blocks, WAVE):
+        found, shares = None, []
+        for b in range(wave, min(wave + WAVE, blocks)):
             block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # about BLOCK rows
             if not block.num_rows:
                 continue
@@ -151,15 +164,18 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
             for i in range(0, len(ids), 256):
                 some = np.arange(i, min(i + 256, len(ids)))
                 first.add(some, seed_ids, exact_scores(rows[some], seed_rows))
-            shared = spark.sparkContext.broadcast((ids, rows, rotation, first.floor))
+            shares.append(spark.sparkContext.broadcast((ids, rows, rotation, first.floor)))
             names = spark.createDataFrame(pa.table({"at": pa.array(np.arange(len(ids)), pa.int32()), "query_id": ids}))
-            found = by_length.select("vec_id", "v").mapInArrow(search(shared, k), "at int, vec_id long, score long")
-            order = Window.partitionBy("at").orderBy(F.col("score").desc(), "vec_id")
-            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(F.broadcast(names), "at")
-            found = found.select("query_id", "rank", "vec_id", "score")
-            found = stored(found, "top-k") if blocks > 1 else found
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            own = by_length.select("vec_id", "v").mapInArrow(search(shares[-1], k), "at int, vec_id long, score long").withColumn("block", F.lit(b)).join(F.broadcast(names), "at")
+            found = own if found is None else found.unionByName(own)
+        if found is not None:
+            # a query that stands in several rows is searched for each of them
+            order = Window.partitionBy("block", "at").orderBy(F.col("score").desc(), "vec_id")
+            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            results.append(stored(found.select("query_id", "rank", "vec_id", "score"), "top-k"))
+        for share in shares:
+            share.destroy()
+    return results
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

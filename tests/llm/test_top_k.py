@@ -63,3 +63,20 @@ def test_several_files_in_one_read_task(spark, monkeypatch, batch):
         for c, value in before.items():
             spark.conf.unset(c) if value is None else spark.conf.set(c, value)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 50, 5)
+
+
+def test_several_blocks_and_waves_with_repeated_ids(spark, monkeypatch):
+    """Blocks of a few queries, in several jobs; rows whose id repeats are candidates each and queries each, but never each other's."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8)) * rng.lognormal(size=(300, 1))
+    rows = [(i % 250, [float(f) for f in np.float32(r)], 1) for i, r in enumerate(x)]
+    for name, value in (("BLOCK", 2), ("WAVE", 2), ("PART_ROWS", 70)):
+        monkeypatch.setattr(top_k, name, value)
+    got = exact_top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=3).collect()
+    whole = [(i, np.floor(np.array(v, dtype=np.float32).astype(float) * 256)) for i, v, _ in rows]
+    expected = []
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), c) for c, w in whole if c != q)[:3]
+            expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(expected)
