@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Callable
+import signal
+import sys
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from decimal import Decimal
 from fractions import Fraction
 
@@ -263,16 +267,53 @@ VERIFIERS: dict[str, Callable[[str, str | None, dict], Result | None]] = {
 }
 
 
+#: Seconds that a verifier may take for a claim, and calls that may nest in it: a sum of n terms nests n deep.
+SECONDS, NESTING = 5.0, 20_000
+
+
+class TooLong(Exception):
+    pass
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """TooLong after so many seconds; without effect outside a process's main thread, where signals do not arrive."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_: object) -> None:
+        raise TooLong
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def run_all(lhs: str, rhs: str | None, context: dict) -> list[tuple[int, str, str, float, str]]:
-    """(ord, verifier, verdict, confidence, evidence) of all that apply; an exception is an error and ends nothing."""
-    out = []
+    """(ord, verifier, verdict, confidence, evidence) of all that apply; an exception is an error and ends nothing.
+
+    What takes too long or nests too deeply is undecided, with that as its evidence.
+    """
+    out, before = [], sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, NESTING))
     for i, (name, verifier) in enumerate(VERIFIERS.items()):
         try:
-            got = verifier(lhs, rhs, context)
+            with time_limit(SECONDS):
+                got = verifier(lhs, rhs, context)
+        except TooLong:
+            got = INCONCLUSIVE, 0.0, f"no answer in {SECONDS:g} s"
+        except RecursionError:
+            got = INCONCLUSIVE, 0.0, "nested too deeply"
         except Exception as e:
             got = ERROR, 0.0, f"{type(e).__name__}: {e}"[:300]
         if got is not None:
             out.append((i, name, *got))
+    sys.setrecursionlimit(before)
     return out
 
 

@@ -53,3 +53,20 @@ def test_limits_and_conservation():
 def test_a_broken_verifier_is_an_error(monkeypatch):
     monkeypatch.setitem(v.VERIFIERS, "broken", lambda *_: 1 / 0)
     assert v.run_all("1", "1", {})[-1][2] == v.ERROR
+
+
+def test_long_claims_are_read_whole_and_slow_ones_end():
+    terms = " + ".join(f"{k}*x" for k in range(1, 1500))
+    assert len(terms) > 4000 and verdict(terms, f"{sum(range(1, 1500))}*x") == v.PASS and verdict(terms, f"{sum(range(1, 1500)) + 1}*x") == v.FAIL
+    deep = "(" * 50_000 + "x" + ")" * 50_000
+    assert verdict(deep, "x") in (v.INCONCLUSIVE, v.PASS)
+
+
+def test_time_limit(monkeypatch):
+    import time
+
+    monkeypatch.setattr(v, "SECONDS", 0.2)
+    monkeypatch.setitem(v.VERIFIERS, "symbolic", lambda *_: time.sleep(30))
+    began = time.perf_counter()
+    found = v.run_all("x", "x", {})
+    assert time.perf_counter() - began < 10 and (0, "symbolic", v.INCONCLUSIVE, 0.0, "no answer in 0.2 s") in found
