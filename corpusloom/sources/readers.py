@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,14 +105,33 @@ def unpacked(contents):
     return pd.Series([one(bytes(c)) for c in contents])
 
 
+def _replaced(df: DataFrame, path: str, write) -> None:
+    """``write`` a new folder next to ``path``, then put it in its place: until it is whole, readers see the old table."""
+    spark = df.sparkSession
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    place = make(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    new, old = (make(f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    write(new.toString())
+    had = files.exists(place)
+    if had and not files.rename(place, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(new, place):
+        if had:
+            files.rename(old, place)
+        raise OSError(f"cannot put the new table in the place of {path}")
+    if had:
+        files.delete(old, True)
+
+
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Parquet with zstd; readers see all of a write or nothing of it."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Parquet with zstd; a failed write leaves the old table as it was, and a finished one takes its place by renaming."""
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
+    _replaced(df, path, (writer.partitionBy(*partition_by) if partition_by else writer).parquet)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    _replaced(df, path, df.write.mode("errorifexists").json)
 
 
 def pending_units(units: DataFrame, done: DataFrame, unit: str) -> DataFrame:
@@ -134,6 +155,51 @@ def acquisition_problems(manifest: dict) -> dict[str, list[str]]:
     return {"start": start, "complete": complete}
 
 
+class AcquisitionManifest:
+    """What is known of an acquisition, as a JSON file: license, pinned revision of the source, units done and failures."""
+
+    def __init__(self, path: str, license_status: str = "unknown", revision: str | None = None):
+        self.path = path
+        self.data: dict = {"license_status": license_status, "revision": revision, "units": [], "failures": [], "complete": False}
+
+    @classmethod
+    def load(cls, path: str) -> AcquisitionManifest:
+        """The saved manifest; one that is absent or cannot be read is new."""
+        out = cls(path)
+        try:
+            with open(path, encoding="utf-8") as file:
+                saved = json.load(file)
+        except (OSError, ValueError):
+            return out
+        out.data |= saved if isinstance(saved, dict) else {}
+        return out
+
+    def save(self) -> None:
+        """Written aside and renamed, so that no reader sees half of it."""
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
+        aside = f"{self.path}.{uuid.uuid4().hex}"
+        with open(aside, "w", encoding="utf-8") as file:
+            json.dump(self.data, file, sort_keys=True, indent=1)
+        os.replace(aside, self.path)
+
+    def can_start(self) -> bool:
+        return not acquisition_problems(self.data)["start"]
+
+    def can_resume(self, revision: str | None) -> bool:
+        """A run goes on only from the revision it began with."""
+        return self.data["revision"] in (None, revision)
+
+    def can_complete(self) -> bool:
+        return not acquisition_problems(self.data)["complete"]
+
+    def mark_complete(self, force: bool = False) -> None:
+        """An error while failures can be tried again; ``force`` overrides it and is recorded."""
+        if not force and not self.can_complete():
+            raise ValueError(f"units to try again: {acquisition_problems(self.data)['complete']}")
+        self.data |= {"complete": True, "forced": force and not self.can_complete()}
+        self.save()
+
+
 def retry_delay(attempt: int, base: float = 1.0, most: float = 600.0, retry_after: float | None = None, seed: int = 17) -> float:
     """Seconds before a try: what the server asks for, or doubling delays with up to a quarter of jitter."""
     if retry_after is not None:

@@ -208,5 +208,34 @@ def test_package_and_sinks(spark, tmp_path):
     assert readers.recursive_table(spark, str(tmp_path / "q"), "id long").count() == 20
     readers.write_json(df, str(tmp_path / "j"))
     assert readers.json_lines(spark, str(tmp_path / "j"), "id long, part long").count() == 20
+    with pytest.raises(Exception, match="(?i)raise_error|no such luck"):
+        readers.write_table(df.selectExpr("raise_error('no such luck') AS id"), str(tmp_path / "q"))
+    assert readers.recursive_table(spark, str(tmp_path / "q"), "id long").count() == 20  # a failed write leaves the old table
+    readers.write_table(df.limit(3), str(tmp_path / "q"))
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 3 and not list(tmp_path.glob("q.old*"))
     done = spark.createDataFrame([(1,)], "id long")
     assert readers.pending_units(df, done, "id").count() == 19
+
+
+def test_acquisition_manifest(tmp_path):
+    path = str(tmp_path / "m/manifest.json")
+    manifest = readers.AcquisitionManifest(path, "resolved", "abc")
+    manifest.data["failures"] = [{"unit": 1, "retryable": True}]
+    manifest.save()
+    again = readers.AcquisitionManifest.load(path)
+    assert again.data == manifest.data and again.can_start() and not again.can_complete()
+    assert again.can_resume("abc") and not again.can_resume("def")
+    with pytest.raises(ValueError):
+        again.mark_complete()
+    again.mark_complete(force=True)
+    assert readers.AcquisitionManifest.load(path).data["forced"] is True
+    assert not readers.AcquisitionManifest.load(str(tmp_path / "none")).can_start()
+
+
+def test_protocol_cache(spark):
+    rows = [("q1", 1.0, "a", 2, 512), ("q2", 2.0, "a", 2, 512)]
+    cache = spark.createDataFrame(rows, "query string, pos double, digest string, n int, max_tokens int")
+    same = {"digest": "a", "n": 2, "max_tokens": 512}
+    assert retrieval.usable_cache(cache, same).count() == 2
+    for other in ({"digest": "b"}, {"n": 3}, {"max_tokens": 256}):
+        assert retrieval.usable_cache(cache, same | other).count() == 0
