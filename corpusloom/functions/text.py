@@ -29,8 +29,9 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def composed(text: Column) -> Column:
-    """NFC; ASCII texts are in it already and do not visit Python's result."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(nfc(text))
+    """NFC; ASCII texts are in it already, so Python gets a null in their place."""
+    other = F.when(F.length(text) != F.octet_length(text), text)
+    return F.coalesce(nfc(other), text)
 
 
 def normal_form(text: Column, unicode: bool = True) -> Column:

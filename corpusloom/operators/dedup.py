@@ -16,6 +16,8 @@ from ..functions.text import exact_key, normal_form
 #: Signature length, seed, bands and rows; the modulus keeps products below 2**62.
 N_PERM, SEED, BANDS, ROWS, MODULUS = 128, 17, 16, 8, 2**31 - 1
 SHINGLE = 5
+#: Buckets of more members are reported as crowded.
+MOST = 500
 #: Members of a bucket that are dealt to one group, about.
 BLOCK = 512
 
@@ -87,7 +89,7 @@ def band_rows(sigs: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS) -
     return sigs.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.band", "c.bucket")
 
 
-def candidate_pairs(bands: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(bands: DataFrame, key: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(a, b) distinct pairs that share a bucket of at most ``most`` members, and the buckets of more, as a report.
 
     Whole results come from scored_pairs and near_clusters, which leave no bucket out.

@@ -61,6 +61,42 @@ def top_k(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int = 3
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def counted_positions(queries: DataFrame, pool: DataFrame, key: str, vector: str, truth: Column, block: int = 4096) -> DataFrame:
+    """(query, pos): 1 + the rows of the pool, the query's own aside, whose inner product, rounded to 6 places, exceeds that of ``truth`` (an id).
+
+    Queries go in blocks of about ``block`` rows; a task only counts, so no ranking of all pairs is ever made. Queries without
+    a true row have no position.
+    """
+    spark = pool.sparkSession
+    theirs = pool.select(F.col(key).alias("__truth"), F.col(vector).alias("tv"))
+    known = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("qv"), truth.alias("__truth")).join(theirs, "__truth").select("q", "qv", "tv")
+    blocks = max(1, -(-known.count() // block))
+    out = None
+    for b in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
+        if not rows.num_rows:
+            continue
+        ids = np.asarray(rows.column("q"))
+        q, own = (np.array(rows.column(c).to_pylist(), dtype=np.float64) for c in ("qv", "tv"))
+        shared = spark.sparkContext.broadcast((ids, q, np.round((q * own).sum(axis=1), 6)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, own = shared.value
+            above = np.zeros(len(ids), dtype=np.int64)
+            for batch in batches:
+                other = np.asarray(batch.column(0))
+                for i in range(0, len(other), 1024):
+                    x = np.asarray(batch.column(1).slice(i, 1024).flatten(), dtype=np.float64).reshape(-1, q.shape[1])
+                    above += ((np.round(q @ x.T, 6) > own[:, None]) & (other[None, i : i + 1024] != ids[:, None])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(above)], names=["query", "above"])
+
+        found = pool.select(F.col(key).cast("long"), vector).mapInArrow(run, "query long, above long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query long, pos long")
+    return out.groupBy("query").agg((F.sum("above") + 1).alias("pos"))
+
+
 def positions(scored: DataFrame, query: str, candidate: str, score: str, truth: str) -> DataFrame:
     """(query, pos): 1 + the candidates that score higher than the true one (``truth``: its id); ties do not count."""
     own = scored.where(F.col(candidate) == F.col(truth)).groupBy(query).agg(F.max(score).alias("__own"))

@@ -40,10 +40,10 @@ _A, _B = dedup.permutations()
 
 @add("d3_signatures", f"""
 WITH {SHINGLES}
-SELECT doc_id, {', '.join(f'min(({int(_A[i])} * (v % {dedup.MODULUS}) + {int(_B[i])}) % {dedup.MODULUS}) AS s{i}' for i in range(16))} FROM h GROUP BY doc_id""")
+SELECT doc_id, {', '.join(f'min(({int(_A[i])} * (v % {dedup.MODULUS}) + {int(_B[i])}) % {dedup.MODULUS}) AS s{i}' for i in range(dedup.N_PERM))} FROM h GROUP BY doc_id""")
 def _(spark, d):
     sigs = dedup.signatures(t(spark, d, "documents"), "doc_id", "text")
-    return sigs.select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(16)])
+    return sigs.select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(dedup.N_PERM)])
 
 
 PERMUTED = values([(i, int(_A[i]), int(_B[i])) for i in range(dedup.N_PERM)], "i, a, b")
@@ -64,10 +64,10 @@ def _(spark, d):
 WITH {SHINGLES}, p AS (SELECT i, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM {PERMUTED}),
 g AS (SELECT doc_id, i, min((a * (v % {dedup.MODULUS}) + b) % {dedup.MODULUS}) AS m FROM h, p GROUP BY doc_id, i),
 b AS (SELECT doc_id, i // 8 AS band, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS bucket FROM g GROUP BY doc_id, i // 8)
-SELECT size, count(*) AS buckets FROM (SELECT band, bucket, count(*) AS size FROM b GROUP BY band, bucket) WHERE size > 2 GROUP BY size""")
+SELECT size, count(*) AS buckets FROM (SELECT band, bucket, count(*) AS size FROM b GROUP BY band, bucket) WHERE size > {dedup.MOST} GROUP BY size""")
 def _(spark, d):
     bands = dedup.band_rows(dedup.signatures(t(spark, d, "documents"), "doc_id", "text"), "doc_id")
-    _, skipped = dedup.candidate_pairs(bands, "doc_id", 2)
+    _, skipped = dedup.candidate_pairs(bands, "doc_id", dedup.MOST)
     return skipped.groupBy("size").agg(F.count("*").alias("buckets"))
 
 
@@ -98,12 +98,12 @@ def _(spark, d):
 
 # cosine search: vectors of the driver have unit length
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE)))"
-SEARCH = f"""s AS (SELECT q.vec_id AS query, c.vec_id AS candidate, c.label, q.label AS ql, round({DOT}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0 AND q.vec_id <> c.vec_id)"""
+SEARCH = f"""s AS (SELECT q.vec_id AS query, c.vec_id AS candidate, c.label, q.label AS ql, round({DOT}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)"""
 
 
 def _search(spark, d, k):
     vectors = t(spark, d, "embeddings")
-    found = retrieval.top_k(vectors.where("vec_id % 25 = 0"), vectors, "vec_id", "embedding", k + 1)
+    found = retrieval.top_k(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", k + 1)
     return found.where("query <> candidate")
 
 
@@ -134,8 +134,7 @@ pos AS (SELECT s.query, 1 + count(*) FILTER (s.score > o.own) AS pos FROM s JOIN
 
 def _positions(spark, d):
     vectors = t(spark, d, "embeddings")
-    everything = _search(spark, d, vectors.count()).withColumn("truth", F.col("query") + 1)
-    return retrieval.positions(everything, "query", "candidate", "score", "truth")
+    return retrieval.counted_positions(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", F.col("vec_id") + 1)
 
 
 @add("w9_positions", f"WITH {POSITIONS} SELECT query, pos FROM pos")
@@ -188,11 +187,14 @@ def _(spark, d):
 
 
 @add("r7_pooling", """
-SELECT vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS first FROM embeddings""")
+WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)
+SELECT vec_id, "at", CASE WHEN abs(value) < 0.00005 THEN 0.0 ELSE round(value, 4) END AS value
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS "at", unnest(embedding) / n AS value FROM v)""")
 def _(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
     zero = F.transform(v, lambda x: F.lit(0.0))
-    return t(spark, d, "embeddings").select("vec_id", F.round(F.get(retrieval.pooled(F.array(v, v, zero), F.array(F.lit(1), F.lit(1), F.lit(0))), F.lit(0)), 4).alias("first"))
+    pooled = t(spark, d, "embeddings").select("vec_id", retrieval.pooled(F.array(v, v, zero), F.array(F.lit(1), F.lit(1), F.lit(0))).alias("p"))
+    return pooled.select("vec_id", F.posexplode("p").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.when(F.abs("x") < 0.00005, 0.0).otherwise(F.round("x", 4)).alias("value"))
 
 
 # a reproducible score in hundredths stands for a model
@@ -233,6 +235,13 @@ def _(spark, d):
     return scored.select("doc_id", "label", F.round(F.col("p")[1], 6).alias("score"), classify.decided(F.col("p"), [0, 1], thresholds).cast("int").alias("decision"))
 
 
+@add("m6_leave_one_out")
+def _(spark, d):
+    """False positives with each language left out of training."""
+    df = t(spark, d, "documents").select("doc_id", "text", "lang").join(t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return classify.leave_one_out(df, "lang", hashed=True, iterations=10)
+
+
 @add("l14_audit", """
 WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS f FROM lineitem WHERE l_linenumber <= 4), c AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS f FROM lineitem WHERE l_linenumber >= 2),
 b AS (SELECT coalesce(s.k, c.k) AS k, count(s.f) AS ns, count(c.f) AS nc, count(*) FILTER (s.f IS NOT NULL AND c.f IS NOT NULL) AS p FROM s FULL JOIN c ON s.k = c.k AND s.f = c.f GROUP BY 1)
@@ -251,18 +260,11 @@ for _k in range(8):
 
 
 @add("l15_bootstrap", f"""
-WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS p, 1 AS w FROM orders WHERE o_orderkey % 10 = 0),
-u AS (SELECT b, p, w, CAST(('0x' || substr(md5('17|' || CAST(b AS VARCHAR) || '|' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM r, (SELECT unnest(range(1, 41)) AS b)),
+WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS p, 1 AS w FROM orders),
+u AS (SELECT b, p, w, CAST(('0x' || substr(md5('17|' || CAST(b AS VARCHAR) || '|' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM r, (SELECT unnest(range(1, 1001)) AS b)),
 x AS (SELECT b, p, w, {' + '.join(f'CAST(u >= CAST({s!r} AS DOUBLE) AS INTEGER)' for s in _STEPS)} AS n FROM (SELECT b, p, w, CAST(u AS DOUBLE) AS u FROM u)),
 s AS (SELECT b, sum(n * p) / sum(n * w) AS r FROM x GROUP BY b)
 SELECT (SELECT count(*) FROM r) AS documents, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM s""")
-def _(spark, d):
-    rows = t(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("p"), F.lit(1).alias("w"))
-    return audit.bootstrap_ratio(rows, "k", "p", "w", 40)
-
-
-#: All orders with the operator's own number of resamples; no SQL, as that of l15_bootstrap holds for a tenth of them and 40.
-@add("l15_bootstrap_whole")
 def _(spark, d):
     rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("p"), F.lit(1).alias("w"))
     return audit.bootstrap_ratio(rows, "k", "p", "w")
@@ -276,32 +278,33 @@ SOURCES = [
 ]
 
 
-@add("l1_l8_equations")
+EQUATIONS = [
+    (1, 0, r"\mathcal{E} = m c^{2} \label{a}", r"\mathcal{E}=mc^2", r"\mathcal{E} = m c^{2} \label{a}"), (1, 1, r"\dfrac{1}{2}", r"\frac{1}{2}", r"\dfrac{1}{2}"), (1, 2, r"a \le b", r"a\leq b", r"a \le b"),
+    (2, 0, r"E_{\rm cin} = \tfrac12 m v_{0}^2", r"E_{\rm cin}=\frac12mv_0^2", r"E_cin = \tfrac12 m v_0^2"), (2, 1, r"\mathbf{A} \cdot \mathbf{B} = c", r"\mathbf{A}\cdot\mathbf{B}=c", r"\mathbf{A} \cdot \mathbf{B} = c"),
+]
+
+
+#: The SQL states the rows that the sources must give.
+@add("l1_l8_equations", f"SELECT * FROM {values(EQUATIONS, 'id, \"at\", eq, form, named')}")
 def _(spark, d):
     df = spark.createDataFrame(SOURCES, "id int, tex string")
     eqs = df.select("id", F.posexplode(latex.equations_of("tex")).alias("at", "eq"))
     return eqs.select("id", "at", "eq", latex.canonical_of("eq").alias("form"), latex.identifiers_of("eq").alias("named"))
 
 
-@add("l1_comments", r"SELECT doc_id, sha256(regexp_replace(text, '([^\\])%[^\n]*', '\1', 'g')) AS h FROM documents WHERE contains(text, '%') AND NOT contains(text, '\') AND NOT regexp_matches(text, '^%|\n%|%%')")
-def _(spark, d):
-    df = t(spark, d, "documents").where(F.col("text").contains("%") & ~F.col("text").contains("\\") & ~F.col("text").rlike("^%|\n%|%%"))
-    return df.select("doc_id", F.sha2(latex.comments_removed(F.col("text")), 256).alias("h"))
-
-
-#: All documents; no SQL, as that of l1_comments holds for a part of them.
-@add("l1_comments_whole")
+@add("l1_comments", r"SELECT doc_id, sha256(regexp_replace(text, '([^\\%]+|\\.)|%[^\n]*', '\1', 'gs')) AS h FROM documents")
 def _(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(latex.comments_removed(F.col("text")), 256).alias("h"))
 
 
-BUNDLES = [(1, {"main.tex": r"\documentclass{a}\begin{document}\input{b}$x+y=1$\end{document} tail", "b.tex": r"$a=b+c$", "old.tex": "$q=1$"}), (2, {"x.tex": "$a=b$", "y.tex": "text"})]
+BUNDLES = [(1, {"main.tex": r"\documentclass{a}\begin{document}\input{b}\input gone $x+y=1$\end{document} tail", "b.tex": r"$a=b+c$", "old.tex": "$q=1$"}), (2, {"x.tex": "$a=b$", "y.tex": "text"})]
+ASSEMBLED = [(1, "\\documentclass{a}\\begin{document}\n$a=b+c$\n $x+y=1$", "assembled", "main.tex", "b.tex", "gone", "old.tex"), (2, "$a=b$\ntext", "concatenated", None, "", "", "")]
 
 
-@add("l4_assembled")
+@add("l4_assembled", f"SELECT * FROM {values(ASSEMBLED, 'id, text, mode, main, included, missing, ignored')}")
 def _(spark, d):
     df = spark.createDataFrame(BUNDLES, "id int, files map<string,string>").select("id", latex.assembled_of("files").alias("r"))
-    return df.select("id", "r.text", "r.mode", F.array_join("r.ignored", ",").alias("ignored"))
+    return df.select("id", "r.text", "r.mode", "r.main", *[F.array_join(f"r.{c}", ",").alias(c) for c in ("included", "missing", "ignored")])
 
 
 RESULTS = [

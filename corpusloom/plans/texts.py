@@ -76,16 +76,15 @@ def _(spark, d):
     return out.select("id", "archive", F.array_join("archives", ",").alias("archives"), "is_physics", "is_math_support", "subfield", "peer_reviewed", "year", "primary_physics")
 
 
-@add("p9_classifier_text", r"""
-SELECT doc_id, sha256(trim(regexp_replace(source || chr(10) || coalesce(text, ''), '\s+', ' ', 'g'))) AS h FROM documents WHERE NOT regexp_matches(text, '[\x0B\x1C-\x1F]')""")
+@add("p9_classifier_text", r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(source, '') || chr(10) || coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h FROM documents")
 def _(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(text.classifier_text(F.col("source"), F.col("text")), 256).alias("h"))
 
 
-@add("p10_pair_text", "SELECT doc_id, length(source || '. ' || text) AS n FROM documents WHERE length(source || '. ' || text) >= 120")
+@add("p10_pair_text", "SELECT doc_id, sha256(p) AS h FROM (SELECT doc_id, coalesce(source, '') || '. ' || coalesce(text, '') AS p FROM documents) WHERE length(p) >= 120")
 def _(spark, d):
-    out = t(spark, d, "documents").select("doc_id", F.length(text.pair_text(F.col("source"), F.col("text"))).alias("n"))
-    return out.where("n >= 120")
+    out = t(spark, d, "documents").select("doc_id", text.pair_text(F.col("source"), F.col("text")).alias("p"))
+    return out.where(F.length("p") >= 120).select("doc_id", F.sha2("p", 256).alias("h"))
 
 
 @add("p17_hosts", "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, count(*) AS n FROM pages WHERE starts_with(lower(url), 'http') GROUP BY 1")
