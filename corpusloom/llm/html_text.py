@@ -1,9 +1,11 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams events; each block of a page becomes a line with its text, its tags
-and the elements it stands in. The lines' text-to-tag ratios are smoothed with a Gaussian and split by a threshold
-into content and rest. The text is all lines of the articles (or of main) that hold most of the content, or else of the innermost element
-that holds all of it, so short paragraphs between long ones stay, except those in parts that are marked as something else.
+and the elements it stands in. The lines' ratios of unlinked text to tags are smoothed with a Gaussian and split by a threshold
+into content and rest; lines that are links only are rest whatever stands around them. The text is the region of the content lines:
+the articles (or mains) that hold most of them, else the innermost element that holds all of them, with the title before it and the
+sentences after it. Tags and whole words of class, id and role are evidence next to that: parts that they mark as something else are left out,
+unless they hold the text itself.
 """
 
 from __future__ import annotations
@@ -30,15 +32,28 @@ UNWANTED = frozenset("nav footer aside form menu dialog fieldset".split())
 HOLDERS = frozenset("html body main article section div header blockquote table tbody tr td ul ol dl figure details nav footer aside form menu dialog fieldset center".split())
 BLOCKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr caption th thead tfoot address summary figcaption hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id and role values that mark parts other than the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|masthead|cookies?\w*|consent|gdpr|notices?"
-    r"|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|respond|reply|replies|disqus|widgets?|toolbar|pager|pagination|search"
-    r"|complementary|navigation|contentinfo|skip)(?:$|[\s_-])"
-)
-#: Names that tell how a page is laid out: has-sidebar, no-sidebar, layout-with-menu.
-LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]")
-HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|top|topbar|head)(?:$|[\s_-])")
+#: Words of class, id and role that mark parts other than the article: a name is a mark if it has one of them and besides only words of PLAIN.
+MARKS = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions banner banners nav navbar navigation menu menus
+    breadcrumb breadcrumbs sidebar sidebars side aside footer foot masthead cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login
+    share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus widget widgets toolbar pager pagination search searchbox
+    complementary contentinfo skip skiplink""".split())
+PLAIN = frozenset("""box bar bars block blocks container wrapper wrap inner outer list lists item items area section panel pane column col row group strip slot unit zone link links button buttons
+    icon icons form field site page global main primary secondary top bottom left right header head content text title post posts article articles story stories more news user users reader readers
+    count thread js module component region sticky fixed float small large big mini desktop mobile wide inline in body to""".split())
+HEADERS = frozenset("header head topbar siteheader pageheader top".split())
+#: Names of comments that are names of an article's sections, too: marks of a plain container, or outside an article.
+TALK = frozenset("discussion discussions conversation conversations responses feedback".split())
+SECTIONS = frozenset("section article main".split())
+#: Words that tell how a page is laid out: has-sidebar, no-sidebar, layout-with-menu.
+LAYOUT = frozenset("has no with without".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Lines that end a page, and how long one may be.
+CLOSING_CHARS = 300
+CLOSING = re.compile(r"©|\(c\)\s*\d{4}|\b(?:copyright|all rights reserved)\b", re.I)
+SENTENCE_END = tuple(".!?…:;\"'”’»)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks in which a line of links only is part of a list or table, which is judged as a whole.
+LISTED = frozenset("li dt dd td th tr ul ol dl table tbody caption figcaption".split())
 #: A tag that the page's end cuts off is no text.
 CUT_OFF = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 
@@ -48,12 +63,31 @@ WANTED, MARKED, OUT = 0, 1, 2
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "holder", "marked", "ratio")
+    __slots__ = ("text", "tags", "linked", "holder", "marked", "ratio", "block")
 
-    def __init__(self, text: str, tags: int, linked: int, holder: int, marked: bool):
-        self.text, self.tags, self.linked, self.holder, self.marked = text, tags, linked, holder, marked
+    def __init__(self, text: str, tags: int, linked: int, holder: int, marked: bool, block: str):
+        self.text, self.tags, self.linked, self.holder, self.marked, self.block = text, tags, linked, holder, marked, block
         self.ratio = 0.0
 
+    def only_links(self) -> bool:
+        return self.linked >= len(self.text.replace(" ", ""))
+
+    def ends_page(self) -> bool:
+        """A short line with a copyright, or one of links for the most part."""
+        return 2 * self.linked > len(self.text) or len(self.text) < CLOSING_CHARS and CLOSING.search(self.text) is not None
+
+
+def is_mark(name: str, tag: str, inside: bool) -> bool:
+    """Whether one name of class, id or role marks a part other than the article; ``inside`` one, headers and sections are its own."""
+    words = {x.lower() for x in WORDS.findall(name)} - {x for x in WORDS.findall(name) if x.isdigit()}
+    if words & LAYOUT:
+        return False
+    if words & TALK and words <= TALK | PLAIN | MARKS:
+        return not (inside and tag in SECTIONS)
+    if words & MARKS:
+        return words <= MARKS | PLAIN
+    return not inside and bool(words & HEADERS) and words <= HEADERS | PLAIN
+
 
 class Lines(HTMLParser):
     """Collects the lines of a page; tolerates tags that are not closed, not opened or cut off."""
@@ -69,6 +103,7 @@ class Lines(HTMLParser):
         self.skip: list[str] = []
         self.inline: list[str] = []  # marked elements that hold no blocks
         self.parts: list[str] = []
+        self.block = ""  # the latest block that opened
 
     def _wants(self, tag: str, attrs: list) -> int:
         inside = bool(self.open) and self.open[-1][2]
@@ -80,10 +115,8 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
                 return OUT
-            if value and name in ("class", "id", "role", "aria-label"):
-                low = " ".join(x for x in value.lower().split() if not LAYOUT.search(x))
-                if MARKS.search(low) or not inside and HEADER_MARKS.search(low):
-                    out = MARKED
+            if value and name in ("class", "id", "role") and any(is_mark(x, tag, inside) for x in value.split()):
+                out = MARKED
         return out
 
     def cut(self) -> None:
@@ -91,7 +124,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, bool(self.inline)))
+            self.lines.append(Line(text, self.tags, self.linked, self.open[-1][1] if self.open else 0, bool(self.inline), self.block))
             self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -108,6 +141,8 @@ class Lines(HTMLParser):
             self.links += 1
         if tag in BLOCKS:
             self.cut()
+            if tag not in VOID:
+                self.block = tag
         if tag in HOLDERS:
             before = self.open[-1] if self.open else ("", 0, False)
             self.names.append(tag)
@@ -138,6 +173,7 @@ class Lines(HTMLParser):
             self.links = max(0, self.links - 1)
         if tag in BLOCKS:
             self.cut()
+            self.block = ""
         if tag in HOLDERS:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
@@ -153,7 +189,7 @@ class Lines(HTMLParser):
         if not self.skip:
             self.parts.append(data)
             if self.links:
-                self.linked += len(data)
+                self.linked += len("".join(data.split()))
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -197,20 +233,77 @@ def downwards(parser: Lines, own: list[bool]) -> list[bool]:
 def wanted_lines(parser: Lines, share: float) -> list[Line]:
     """Lines outside unwanted parts. A comment's article or a marked part stays what the part around it is.
 
-    Where no article or main is free of marks, a marked part that holds most of the page's text is its wrapper.
+    Where no article or main has a line free of marks, a marked part that holds most of the page's text is its wrapper.
     """
     n = range(len(parser.names))
     out = downwards(parser, [w == OUT for w in parser.wants])
     under = downwards(parser, [w != WANTED for w in parser.wants])
     articles = [parser.names[h] in ("article", "main") and not out[h] for h in n]
-    if not any(articles[h] and not under[h] for h in n):
+    free = sums_of(parser, [x for x in parser.lines if not under[x.holder] and not x.marked])
+    if not any(articles[h] and free[h] for h in n):
         sums = sums_of(parser, [x for x in parser.lines if not out[x.holder] and not x.marked])
         holds = list(articles)
         for h in reversed(n):
             holds[parser.parents[h]] = holds[parser.parents[h]] or holds[h]
-        wraps = [parser.wants[h] == MARKED and not parser.within[h] and sums[h] > 0 and sums[h] >= (WRAPPED if holds[h] else share) * sums[0] for h in n]
+        wraps = [parser.wants[h] == MARKED and sums[h] > 0 and (not parser.within[h] or sums[0] == sums[h]) and sums[h] >= (WRAPPED if holds[h] else share) * sums[0] for h in n]
         under = downwards(parser, [w != WANTED and not wraps[h] for h, w in enumerate(parser.wants)])
-    return [x for x in parser.lines if not under[x.holder] and not x.marked]
+    lines = [x for x in parser.lines if not under[x.holder] and not x.marked]
+    return without_link_lines(parser, lines)
+
+
+def without_link_lines(parser: Lines, lines: list[Line]) -> list[Line]:
+    """Lines but for those of links only: single ones in no list and no heading, and lists and tables all of whose lines are such."""
+    linked, whole = [0] * len(parser.names), [0] * len(parser.names)
+    for x in lines:
+        h = x.holder
+        while h and parser.names[h] not in ("ul", "ol", "dl", "table"):
+            h = parser.parents[h]
+        whole[h] += 1
+        linked[h] += x.only_links()
+    out = []
+    for x in lines:
+        h = x.holder
+        while h and parser.names[h] not in ("ul", "ol", "dl", "table"):
+            h = parser.parents[h]
+        menu = linked[h] == whole[h] if h else x.block not in HEADINGS | LISTED
+        if not (x.only_links() and menu):
+            out.append(x)
+    return out
+
+
+def region(parser: Lines, wanted: list[Line], content: list[Line], share: float) -> list[bool]:
+    """The holders that the content lines vote for, with all that stands in them."""
+    votes = sums_of(parser, content)
+    for name in ("article", "main"):  # all parts of an article that is given in parts
+        inside = downwards(parser, [parser.names[h] == name and votes[h] > 0 for h in range(len(votes))])
+        if sum(len(x.text) for x in content if inside[x.holder]) >= share * votes[0]:
+            return inside
+    # the innermost element of all content lines; a list, table or quotation is part of an article and not one
+    whole = [h for h, v in enumerate(votes) if v == votes[0] and parser.names[h] in ("body", "main", "article", "section", "div", "center", "html")]
+    return downwards(parser, [h == max(whole) for h in range(len(votes))]) if whole else [True] * len(votes)
+
+
+def extended(parser: Lines, wanted: list[Line], inside: list[bool]) -> list[Line]:
+    """The region's lines, with those before it from the page's title on, and the sentences and headings right after it."""
+    own = [k for k, x in enumerate(wanted) if inside[x.holder]]
+    first, last = own[0], own[-1]
+    in_article = any(inside[h] and parser.names[h] in ("article", "main") for h in range(len(inside)))
+    if in_article:
+        return [wanted[k] for k in own]
+    if not any(wanted[k].block == "h1" for k in own):
+        title = next((k for k in range(first - 1, -1, -1) if wanted[k].block == "h1"), None)
+        first = first if title is None else title
+    while last + 1 < len(wanted):
+        x = wanted[last + 1]
+        if x.ends_page() or not (x.text.endswith(SENTENCE_END) or x.block in HEADINGS):
+            break
+        last += 1
+    # where the region is the whole page, what closes it is no part of it
+    while last > first and wanted[last].ends_page():
+        last -= 1
+    while last > own[-1] and wanted[last].block in HEADINGS:  # a heading of something else
+        last -= 1
+    return wanted[first : last + 1]
 
 
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE) -> str:
@@ -221,22 +314,8 @@ def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD, sha
     wanted = wanted_lines(parser, share)
     if not wanted:
         return ""
-    content = content_lines(wanted, sigma, threshold) or wanted
-    votes = sums_of(parser, content)
-    roots: list[bool] = []
-    for name in ("article", "main"):  # all parts of an article that is given in parts
-        own = [parser.names[h] == name and votes[h] > 0 for h in range(len(votes))]
-        inside = downwards(parser, own)
-        if sum(len(x.text) for x in content if inside[x.holder]) >= share * votes[0]:
-            roots = inside
-            break
-    if not roots:
-        # the innermost element of all content lines; a list, table or quotation is part of an article and not one
-        whole = [h for h, v in enumerate(votes) if v == votes[0] and parser.names[h] in ("body", "main", "article", "section", "div", "center", "html")]
-        if not whole:
-            return "\n".join(x.text for x in wanted)
-        roots = downwards(parser, [h == max(whole) for h in range(len(votes))])
-    return "\n".join(x.text for x in wanted if roots[x.holder])
+    content = [x for x in content_lines(wanted, sigma, threshold) if not x.ends_page()] or wanted
+    return "\n".join(x.text for x in extended(parser, wanted, region(parser, wanted, content, share)))
 
 
 def extract(sigma: float, threshold: float, share: float):

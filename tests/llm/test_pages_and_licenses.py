@@ -1,10 +1,13 @@
 import html
+import math
 import random
 import re
+import statistics
 
 import duckdb
 import pyarrow as pa
 
+from corpusloom.llm import html_text as ht
 from corpusloom.llm import license_scan as ls
 from corpusloom.llm.html_text import html_text, main_text
 
@@ -48,6 +51,54 @@ def test_endings_and_wrappers_stay():
     assert main_text(f"<body><div class='related'><article><p>{LONG}</p></article></div><div><p>{ten}</p></div></body>") == ten
 
 
+def brute_content(rows, sigma, threshold):
+    """The clustering written out: (text, unlinked characters, tags) of each line to the texts of the content lines."""
+    raw = [free / max(1, tags) for _, free, tags in rows]
+    reach = max(1, int(-(-2 * sigma // 1)))
+    smooth = []
+    for i in range(len(raw)):
+        near = [(math.exp(-k * k / (2 * sigma**2)), raw[min(max(i + k, 0), len(raw) - 1)]) for k in range(-reach, reach + 1)]
+        smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    mean = statistics.fmean(smooth)
+    return [t for (t, _, _), r in zip(rows, smooth, strict=True) if r >= min(threshold * statistics.pstdev(smooth), mean)]
+
+
+def test_clustering_equals_its_definition():
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(f"line {i}", rng.choice([0, 5, 40, 300, 900]), rng.randrange(1, 8)) for i in range(rng.randrange(1, 30))]
+        lines = [ht.Line("x" * free + "y", tags, 1, 0, False, "p") for _, free, tags in rows]
+        names = {id(x): t for x, (t, _, _) in zip(lines, rows, strict=True)}
+        assert [names[id(x)] for x in ht.content_lines(lines, 1.0, 0.5)] == brute_content(rows, 1.0, 0.5)
+
+
+def test_names_mark_whole_parts_only():
+    w = LONG.strip()
+    ten = " ".join([w] * 10)
+    page = f"<body><article><p>{ten}</p><p class='share-price'>The price fell.</p><section id='search-methods'><p>How we searched.</p></section><section class='discussion'><p>We discuss.</p></section><p>{w}</p></article></body>"
+    assert main_text(page) == f"{ten}\nThe price fell.\nHow we searched.\nWe discuss.\n{w}"
+    assert main_text(f"<body><main><div class='notices-of-marriage'><p>{ten}</p><p>short</p></div></main></body>") == f"{ten}\nshort"
+    assert main_text(f"<body><main><div class='notices'><p>{ten}</p><p>short</p></div></main></body>") == f"{ten}\nshort"
+    for name in ("discussion", "comment-list", "userComments", "social-share", "cookie-banner", "related_posts", "ad-slot-2"):
+        assert main_text(f"<body><article><p>{ten}</p><div class='{name}'><div><p>{w}</p></div><div><p>{w}</p></div></div><p>End.</p></article></body>") == f"{ten}\nEnd."
+
+
+def test_adverts_of_links_only():
+    w = LONG.strip()
+    ten = " ".join([w] * 10)
+    page = f"<body><article><h1><a href=/x>Linked title</a></h1><p>{ten}</p><p><a href=/buy>Buy the best words of all, now cheaper</a></p><div><a href=/a>One</a> <a href=/b>two</a></div><ul><li><a href=/1>m1</a></li><li><a href=/2>m2</a></li></ul><ul><li><a href=/1>First</a></li><li>own item</li></ul><p>With a <a href=/l>link</a>.</p></article></body>"
+    assert main_text(page) == f"Linked title\n{ten}\nFirst\nown item\nWith a link."
+
+
+def test_pages_without_an_article():
+    w = LONG.strip()
+    ten = " ".join([w] * 10)
+    frame = "<body><div><a href=/>Home</a> <a href=/n>News</a></div>{}<div>Copyright 2020 Some House. All rights reserved.</div><div><a href=/i>Imprint</a></div></body>"
+    assert main_text(frame.format(f"<div><h1>Title here</h1></div><div><p>{ten}</p><p>{ten}</p></div><div><p>A last sentence.</p></div>")) == f"Title here\n{ten}\n{ten}\nA last sentence."
+    assert main_text(frame.format(f"<div><p>{ten}</p><p>{ten}</p></div>")) == f"{ten}\n{ten}"
+    assert main_text(frame.format(f"<table><tr><td><h1>T</h1><p>{ten}</p><p>Short one.</p><p>{ten}</p></td></tr></table>")) == f"T\n{ten}\nShort one.\n{ten}"
+
+
 def test_broken_pages(spark):
     deep = "<div>" * 20_000 + f"<p>{LONG}" * 3
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>cut &lt;off <b"), (4, "u", deep), (4, "u", deep), (None, None, "plain"), (6, "u", "<script>x")]
