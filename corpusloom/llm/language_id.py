@@ -3,6 +3,7 @@
 Four sources are multiplied: the text's likelihood under byte-trigram models, the language that markup
 declares, weighed by how often such declarations are right, and the prior of the host, which is smoothed
 towards that of its address suffix and that towards all documents. The counts come from grouped aggregation over all documents.
+Next to the known languages stands another one whose trigrams are all alike; a text that it explains better is in none of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ._store import read_table, stored
 from ._text import LOWER, chunks, looked_up, raw_bytes
+from .html_text import html_text
 from .toxicity import bounded_sample
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -23,12 +25,18 @@ LANGUAGES = ("de", "en", "es", "fr")
 MAX_TRAIN = 3_000
 #: Bins of hashed trigrams; what one trigram counts, as trigrams overlap; the most that a text's evidence may say.
 BINS, TEMPER, MOST = 1 << 15, 0.3, 40.0
+#: Trigrams that a single text counts for, at most; trigrams that the models should have seen before unknown ones mean much.
+PER_TEXT, ENOUGH = 4_000, 50_000
 #: Documents that a suffix and all documents weigh in a host's and a suffix's prior.
 HOST_PRIOR, SUFFIX_PRIOR, DECLARED_PRIOR = 20.0, 50.0, 2.0
 #: Hosts that are broadcast at most; more are joined by shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 #: A document is accepted from this posterior on.
 ACCEPT = 0.5
+#: Share of documents that are expected in no known language, and how they are named.
+OTHER_PRIOR, OTHER = 0.01, "other"
+#: Rejected ids that are broadcast at most; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,28 +56,36 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(spaces, BINS, code % np.uint32(BINS)).astype(np.int32), offsets
 
 
-def fit(texts: pa.Array, declared: list[str], languages: tuple[str, ...]) -> np.ndarray:
-    """(languages, BINS + 1) log-probabilities of trigrams, the last bin (no letters) 0; all 0 for a language without texts."""
+def fit(texts: pa.Array, declared: list[str], languages: tuple[str, ...]) -> tuple[np.ndarray, float]:
+    """(languages + 1, BINS + 1) log-probabilities of trigrams against their mean, the last bin (no letters) 0, and how far to trust the last row.
+
+    The last row is the language in which all trigrams are alike; the less text the others have seen, the less it means that it explains
+    a text better. A language without texts is a little less likely than the least likely one with texts.
+    """
     counts = np.zeros((len(languages), BINS + 1))
     at = 0
     for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
         codes, offsets = trigrams(part.column(0))
         for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-            if declared[at] in languages:
-                counts[languages.index(declared[at])] += np.bincount(codes[i:j], minlength=BINS + 1)
+            if declared[at] in languages and j > i:
+                counts[languages.index(declared[at])] += np.bincount(codes[i:j], minlength=BINS + 1) * min(1.0, PER_TEXT / (j - i))
             at += 1
     counts[:, BINS] = 0
     shared = counts.sum(axis=0) + 0.5
     shared /= shared.sum()
     known = counts.sum(axis=1, keepdims=True)
-    out = np.log((counts + 200 * shared) / (known + 200)) - np.log(shared)
+    out = np.zeros((len(languages) + 1, BINS + 1))
+    if known.any():
+        out[:-1] = np.log((counts + 200 * shared) / (known + 200)) - np.log(shared)
+        out[:-1] = np.where(known > 0, out[:-1], out[:-1][known[:, 0] > 0].min(axis=0) - 0.1)
+        out[-1] = -np.log(BINS) - np.log(shared)
     out[:, BINS] = 0
-    return np.where(known > 0, out, 0.0)
+    return out, float(known.sum() / (known.sum() + ENOUGH))
 
 
 def likelihoods(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, trust = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 codes, offsets = trigrams(part.column(3))
@@ -77,11 +93,12 @@ def likelihoods(shared):
                 for k, row in enumerate(table):
                     sums = np.concatenate([[0.0], np.cumsum(row[codes])])
                     logs[k] = TEMPER * (sums[offsets[1:]] - sums[offsets[:-1]])
-                logs = np.maximum(logs - logs.max(axis=0), -MOST)
+                odd = np.clip(trust * (logs[-1] - logs[:-1].max(axis=0)), -MOST, MOST)
+                logs = np.maximum(logs[:-1] - logs[:-1].max(axis=0), -MOST)
                 letters = np.concatenate([[0], np.cumsum(codes != BINS)])
                 flat = pa.array(logs.T.ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(table)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array(letters[offsets[1:]] - letters[offsets[:-1]])], names=["oid", "host", "declared", "logs", "letters"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(logs)), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array(odd), pa.array(letters[offsets[1:]] - letters[offsets[:-1]])], names=["oid", "host", "declared", "logs", "odd", "letters"])
 
     return run
 
@@ -108,8 +125,8 @@ def _added(size: int, values: Column) -> list[Column]:
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, lang, confidence, p, declared, host, accepted) of every row.
 
-    ``lang`` is the language of the largest posterior (ties: the first of ``languages``), null for a text without
-    letters; ``accepted`` holds if it has letters and a posterior of at least ``accept``. ``declared_col`` and ``host_col`` may be None; a null,
+    ``lang`` is the language of the largest posterior (ties: the first of ``languages``), OTHER for a text in none of them, null for one
+    without letters; ``accepted`` holds for a known language with a posterior of at least ``accept``. ``declared_col`` and ``host_col`` may be None; a null,
     empty or unknown declaration says nothing, and a null host is a host '' of its own. Text models are fitted on at most
     ``max_train`` documents with a declaration; without any, texts say nothing. Null and empty texts are not accepted.
     Repeated rows are judged each; other columns are not read; an empty table gives no rows.
@@ -122,11 +139,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = rows.select("sid").distinct().orderBy(F.md5(F.col("sid").cast("string")), "sid").limit(max_train)
     sample = bounded_sample(rows.join(F.broadcast(chosen), "sid", "left_semi"), max_train, "declared")
     model = spark.sparkContext.broadcast(fit(sample.column("text").combine_chunks(), sample.column("declared").to_pylist(), tuple(languages)))
-    schema = "oid long, host string, declared string, logs array<double>, letters long"
-    table = stored(base.mapInArrow(likelihoods(model), schema), "likelihoods").withColumn("own", F.when(F.col("letters") > 0, normal(F.col("logs"))))
+    schema = "oid long, host string, declared string, logs array<double>, odd double, letters long"
+    table = stored(base.mapInArrow(likelihoods(model), schema), "likelihoods").withColumn("own", F.when((F.col("letters") > 0) & (F.col("odd") <= 0), normal(F.col("logs"))))
 
     # soft counts of texts alone, by host, suffix and declared language
-    sums = stored(table.where("letters > 0").groupBy("host", "declared").agg(*_added(size, F.col("own"))), "host-sums")
+    sums = stored(table.where("own is not null").groupBy("host", "declared").agg(*_added(size, F.col("own"))), "host-sums")
     all_row = sums.agg(*[F.sum(f"s{k}") for k in range(size)]).first()
     everything = [(x or 0.0) + 1.0 for x in all_row]
     overall = [x / sum(everything) for x in everything]
@@ -148,9 +165,24 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prior = [(F.coalesce(F.get("had", F.lit(k)), F.lit(0.0)) - own(F.lit(k)) + HOST_PRIOR * F.coalesce(F.get("up", F.lit(k)), F.lit(overall[k]))) / (rest + HOST_PRIOR) for k in range(size)]
     says = [F.coalesce(*[F.when(F.col("declared") == name, F.lit(float(np.log(rates[name][k])))) for name in languages], F.lit(0.0)) for k in range(size)]
     joined = joined.withColumn("p", normal(F.array(*[F.get("logs", F.lit(k)) + F.log(F.greatest(prior[k], F.lit(1e-9))) + says[k] for k in range(size)])))
-    best = F.array_max("p")
-    lang = F.when(F.col("letters") > 0, F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("p", best).cast("int")))
-    return joined.select(F.col("oid").alias("doc_id"), lang.alias("lang"), best.alias("confidence"), "p", "declared", "host", ((F.col("letters") > 0) & (best >= accept)).alias("accepted"))
+    none = F.lit(1.0) / (1 + F.exp(-F.col("odd")) * (1 / OTHER_PRIOR - 1))  # posterior of no known language
+    joined = joined.withColumn("none", none).withColumn("best", F.array_max("p") * (1 - none))
+    odd = F.col("none") > F.col("best")
+    lang = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("p", F.array_max("p")).cast("int"))
+    lang = F.when(F.col("letters") > 0, F.when(odd, F.lit(OTHER)).otherwise(lang))
+    accepted = (F.col("letters") > 0) & ~odd & (F.col("best") >= accept)
+    return joined.select(F.col("oid").alias("doc_id"), lang.alias("lang"), F.when(odd, F.col("none")).otherwise(F.col("best")).alias("confidence"), "p", "declared", "host", accepted.alias("accepted"))
+
+
+def page_language_id(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """language_id of web pages: the page's main text, the language its markup declares (the lang attribute of html) and its URL's host with the address suffix.
+
+    Null pages and URLs, pages without a declaration and repeated rows are as in language_id; other columns are not read.
+    """
+    texts = html_text(pages, id_col, url_col, html_col).select("page_id", "text")
+    tag = F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
+    marks = pages.select(F.col(id_col).cast("long").alias("page_id"), F.nullif(tag, F.lit("")).alias("declared"), host_of(F.col(url_col)).alias("host")).dropDuplicates(["page_id"])
+    return language_id(texts.join(marks, "page_id", "left"), "page_id", "text", "declared", "host", **options)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +191,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that language_id rejects; rows that share an id go if all of them are rejected."""
-    judged = language_id(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("accepted").alias("__ok"))
-    gone = judged.where("not __ok").select("__gone")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """``docs`` without the documents that language_id rejects; rows that share an id go if all of them are rejected.
+
+    The rejected ids are broadcast while they are at most MAX_BROADCAST_IDS and joined by shuffle beyond that.
+    """
+    judged = language_id(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("gone")).agg(F.max("accepted").alias("ok"))
+    gone = stored(judged.where("not ok").select("gone"), "rejected")
+    held = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone.hint("merge")
+    return docs.join(held, docs[id_col].cast("long").eqNullSafe(gone["gone"]), "left_anti")

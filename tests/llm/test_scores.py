@@ -102,8 +102,81 @@ def test_language_edges(spark):
     assert len(got) == len(EDGES) and [r.accepted for r in got if r.doc_id in (1, 2, 3)] == [False] * 3 and all(r.lang is None for r in got if r.doc_id in (1, 2, 3))
     assert language_id.language_id(docs.limit(0)).count() == 0
     assert language_id.language_id(docs, declared_col=None, host_col=None).count() == len(EDGES)
-    kept = {r.doc_id for r in language_id.keep_known(docs).collect()}
-    assert 4 in kept and not kept & {1, 2, 3}
+    assert {r.doc_id for r in language_id.keep_known(docs).collect()} == {4, 5, None}
+
+
+def test_texts_in_no_known_language(spark):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    odd = [(-1, "Съешь же ещё этих мягких французских булок да выпей чаю"), (-2, "東京都は日本の首都です。"), (-3, "zxqv wkkj qqzx vvbn mmqw xzkj")]
+    rows = language_id.language_id(docs.unionByName(spark.createDataFrame([(i, t, None, "src1") for i, t in odd], docs.schema))).collect()
+    assert {(r.lang, r.accepted) for r in rows if r.doc_id < 0} == {(language_id.OTHER, False)}
+    assert all(r.accepted for r in rows if r.doc_id >= 0)
+
+
+def test_accepted_precision(spark):
+    """What ACCEPT rests on: of documents whose declaration is hidden, how many accepted ones are right, and how many are accepted."""
+    docs = read_table(spark, SF, "documents")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in language_id.language_id(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))).collect() if r.doc_id % 2]
+    accepted = [r for r in rows if r.accepted]
+    assert len(accepted) > 0.99 * len(rows) and np.mean([truth[r.doc_id] == r.lang for r in accepted]) > 0.99
+
+
+def test_priors_equal_brute_force(spark):
+    """Hosts, suffixes, declarations and their smoothing written out in plain Python."""
+    import math
+
+    import pyarrow as pa
+
+    m, names = language_id, language_id.LANGUAGES
+    pool = {"de": "der die und nicht ein haus mit", "en": "the and not a house with words", "es": "el la y no una casa con", "fr": "le la et pas une maison avec"}
+    hosts = ["a.de", "b.de", "www.c.fr", "plain", None]
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        truth = names[rng.integers(4)]
+        text = " ".join(rng.choice(pool[truth].split(), rng.integers(1, 12)))
+        rows.append((i, None if i % 17 == 16 else text, [truth, None, "xx", names[rng.integers(4)]][i % 4], hosts[rng.integers(5)]))
+    got = {r.doc_id: r for r in m.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    known = {i: d if d in names else None for i, _, d, _ in rows}
+    sample = [(t or "", known[i]) for i, t, _, _ in rows if known[i]]
+    table, trust = m.fit(pa.array([t for t, _ in sample]), [d for _, d in sample], names)
+    logs, own = {}, {}
+    for i, t, _, _ in rows:
+        codes, _ = m.trigrams(pa.array([t or ""]))
+        raw = m.TEMPER * table[:, codes].sum(axis=1)
+        logs[i] = np.maximum(raw[:4] - raw[:4].max(), -m.MOST)
+        if (codes != m.BINS).any() and trust * (raw[4] - raw[:4].max()) <= 0:
+            own[i] = np.exp(logs[i]) / np.exp(logs[i]).sum()
+    host = {i: h or "" for i, _, _, h in rows}
+    suffix = {i: h.rsplit(".", 1)[1] if "." in h else "" for i, h in host.items()}
+    total = lambda keep: sum((own[i] for i in own if keep(i)), np.zeros(4))
+    overall = (total(lambda i: True) + 1) / (total(lambda i: True) + 1).sum()
+    for i, t, _, _ in rows:
+        up = total(lambda j: suffix[j] == suffix[i])
+        up = (up + m.SUFFIX_PRIOR * overall) / (up.sum() + m.SUFFIX_PRIOR)
+        mine = total(lambda j: host[j] == host[i] and j != i)
+        if not any(host[j] == host[i] for j in own):
+            up = overall
+        prior = (mine + m.HOST_PRIOR * up) / (mine.sum() + m.HOST_PRIOR)
+        says = np.zeros(4)
+        if known[i]:
+            said = {x: total(lambda j: known[j] == x) for x in names}
+            for k, name in enumerate(names):
+                right = said[known[i]][k] + m.DECLARED_PRIOR * (3 if known[i] == name else 1)
+                says[k] = math.log(right / (sum(said[x][k] for x in names) + m.DECLARED_PRIOR * 6))
+        expected = np.exp(logs[i]) * prior * np.exp(says)
+        assert np.allclose(got[i].p, expected / expected.sum(), atol=1e-9), i
+
+
+def test_pages_by_markup_host_and_suffix(spark):
+    pages = read_table(spark, SF, "pages")
+    declared = {r.page_id: r.l for r in pages.select("page_id", F.regexp_extract("html", '<html lang="(..)"', 1).alias("l")).collect()}
+    rows = language_id.page_language_id(pages).collect()
+    assert len(rows) == len(declared) and all(r.declared == declared[r.page_id if "page_id" in r else r.doc_id] for r in rows)
+    assert np.mean([r.lang == r.declared for r in rows]) > 0.99 and {r.host.rsplit(".", 1)[1] for r in rows} == {"com", "net", "org"}
+    odd = spark.createDataFrame([(1, None, None), (2, "https://a.de", "<html>"), (2, "https://a.de", "<html>"), (None, "nowhere", "<HTML class=x LANG='de-AT'><p>der die das"), (4, "u", "")], "page_id long, url string, html string")
+    assert language_id.page_language_id(odd).count() == 5 and language_id.page_language_id(odd.limit(0)).count() == 0
 
 
 def test_host_and_suffix(spark):
