@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of
 ``documents``; the last returns the pieces of packed sequences. Nulls in any column, empty and very long
-texts, repeated rows, empty tables and extra columns are handled as the operators' docstrings say.
+texts, repeated rows, empty tables and extra columns are handled as the operators' docstrings say; extra columns of ``documents``
+go with the first stage. A stage's table is deleted once the next one has been written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import read_table, stored
+from corpusloom.llm._store import delete, new_path, read_table, stored
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.language_id import keep_known
 from corpusloom.llm.line_dedup import line_dedup
@@ -62,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", path=path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

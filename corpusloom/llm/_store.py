@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one below the warehouse only where none is configured (tests)."""
+    """The cluster's shared folder; one below the warehouse only where none is configured (tests), an error on a cluster."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return set_dir.rstrip("/")
 

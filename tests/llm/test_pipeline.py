@@ -45,3 +45,93 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def brute(rows, items):
+    """The stages before packing in plain Python, for texts that are all in a known language or without letters."""
+    import re
+
+    left = [(i, t or "") for i, t in rows if re.search("[A-Za-zÀ-ÿ]", t or "")]
+    first = {}
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    for i, t in left:
+        for x in t.split("\n"):
+            first[key(x)] = min(first.get(key(x), i), i)
+    left = [(i, "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i)) for i, t in left]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [(i, shingles(t)) for i, t in left]
+    up = {i: i for i, _ in left}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1 :]:
+            if a and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    left = [(i, t) for i, t in left if top(i) == i]
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    windows = set()
+    for t in items:
+        w = split(t)
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    sizes = {len(x) for x in windows}
+    cut = [(i, t, split(t)) for i, t in left]
+    return {i: t for i, t, w in cut if not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w)))}
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Repeated rows of an id aside (see below): copies, near copies, shared lines, passages, odd rows, a very long text and an extra column."""
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(7)
+    pool = [words(k, 1) + words(k + 500, 1) for k in range(400)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [text(14), text(4)]
+    lines = [text(6) for _ in range(5)]
+    rows = []
+    for k in range(60):
+        body = text(rng.randrange(20, 90))
+        rows.append(body)
+        if k % 4 == 0:
+            rows.append(body)
+        if k % 5 == 0:
+            rows.append(body + " " + text(1))
+        if k % 6 == 0:
+            rows.append(text(30) + "\n" + rng.choice(lines) + "\n" + text(20))
+        if k % 10 == 0:
+            rows.append(text(20) + " " + rng.choice(items).upper() + " " + text(20))
+    rows += [None, "", "123 456", text(20_000)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or ""), "more") for i, t in rows], SCHEMA + ", oid string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = p.read_table(spark, str(tmp_path), "documents")
+    for _, stage in p.STAGES[:-1]:
+        docs = p.stored(stage(spark, docs, str(tmp_path)), "test")
+    assert {r.doc_id: r.text for r in docs.collect()} == brute(rows, items)
+
+
+def test_repeated_rows_and_only_the_result_stays(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as p
+
+    rows = [(1, words(1, 60), "en", "a", 1)] * 3 + [(None, words(2, 60), "en", "a", 1), (3, words(3, 60), None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    got = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {1, None, 3} and sum(r.length for r in got if r.doc_id == 1) == 3 * next(r.doc_tokens for r in got if r.doc_id == 1)
+    assert [x for x in set(os.listdir(shared)) - before if x.startswith("stage-")] and len([x for x in set(os.listdir(shared)) - before if x.startswith("stage-")]) == 1

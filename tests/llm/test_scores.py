@@ -51,6 +51,36 @@ def test_segments_are_all_maximal():
         assert covered >= set(np.flatnonzero(x > 0).tolist())
 
 
+def test_attention_equals_its_definition():
+    """Scores passage by passage in plain loops, and gradients against differences."""
+    rng = np.random.default_rng(5)
+    x, bounds, y = rng.normal(size=(9, quality.N_FEATURES)), np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0])
+    model = quality.fit(x, bounds, y)
+    w = model.weights
+    p, share = model.predict(x, bounds)
+    for b in range(3):
+        h = [np.tanh((row - model.mean) / model.spread @ w["W"] + w["c"]) for row in x[bounds[b] : bounds[b + 1]]]
+        e = np.exp([w["a"] @ (np.tanh(w["V"].T @ k) / (1 + np.exp(-(w["U"].T @ k)))) for k in h])
+        weights = e / e.sum()
+        assert np.allclose(share[bounds[b] : bounds[b + 1]], weights)
+        assert np.isclose(p[b], 1 / (1 + np.exp(-(w["o"] @ sum(a * k for a, k in zip(weights, h, strict=True)) + w["b"]))))
+    rows = model.encode(x)
+
+    def loss():
+        q = model.forward(rows, bounds)["p"]
+        return -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
+
+    found = quality._gradients(model, rows, bounds, y)
+    for name, at in (("W", (3, 2)), ("c", (1,)), ("V", (2, 3)), ("U", (4, 1)), ("a", (5,)), ("o", (0,))):
+        keep = w[name][at]
+        w[name][at] = keep + 1e-6
+        up = loss()
+        w[name][at] = keep - 1e-6
+        down = loss()
+        w[name][at] = keep
+        assert np.isclose(found[name][at], (up - down) / 2e-6, rtol=1e-3, atol=1e-8), name
+
+
 def maximal(x, lo, hi):
     """The definition: the best segment (the shortest of the best, as none may begin or end in a part of 0), then the same left and right of it."""
     best = max(((float(x[i:j].sum()), i - j, -i) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0.0, 0, 0))
