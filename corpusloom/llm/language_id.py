@@ -27,6 +27,8 @@ MAX_TRAIN = 3_000
 BINS, TEMPER, MOST = 1 << 15, 0.3, 40.0
 #: Trigrams that a single text counts for, at most; trigrams that the models should have seen before unknown ones mean much.
 PER_TEXT, ENOUGH = 4_000, 50_000
+#: The most that one trigram may speak for no known language, so that a key or an address in a text does not decide.
+ODD = 2.0
 #: Documents that a suffix and all documents weigh in a host's and a suffix's prior.
 HOST_PRIOR, SUFFIX_PRIOR, DECLARED_PRIOR = 20.0, 50.0, 2.0
 #: Hosts that are broadcast at most; more are joined by shuffle.
@@ -78,7 +80,7 @@ def fit(texts: pa.Array, declared: list[str], languages: tuple[str, ...]) -> tup
     if known.any():
         out[:-1] = np.log((counts + 200 * shared) / (known + 200)) - np.log(shared)
         out[:-1] = np.where(known > 0, out[:-1], out[:-1][known[:, 0] > 0].min(axis=0) - 0.1)
-        out[-1] = -np.log(BINS) - np.log(shared)
+        out[-1] = np.minimum(-np.log(BINS) - np.log(shared), out[:-1].max(axis=0) + ODD)
     out[:, BINS] = 0
     return out, float(known.sum() / (known.sum() + ENOUGH))
 
