@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analysis, relational, texts
+from . import analysis, ranking, relational, texts
 from ._base import Query
 
 FLAGSHIP = "w1_keep_latest"
-BOOKS = [relational.BOOK, texts.BOOK, analysis.BOOK]
+BOOKS = [relational.BOOK, texts.BOOK, analysis.BOOK, ranking.BOOK]
 
 
 def queries() -> dict[str, Query]:
