@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical, retrieval
+from ..operators import lexical, retrieval, vectors
 from ..operators._tables import delete, new_path
 from ._base import Book, t
 
@@ -59,3 +59,19 @@ def _(spark, d):
     order = F.row_number().over(retrieval.Window.partitionBy("query").orderBy(F.col("score").desc(), "candidate"))
     found = found.withColumn("n", order).where(F.col("n") <= DEPTHS[1]).withColumn("query", F.expr("query div 20"))
     return lexical.fused_top([text, lexical.ranked(found, "query", "candidate", "score", DEPTHS[1])], 20)
+
+
+@add("embedding_contamination", """
+WITH s AS (SELECT q.vec_id AS item, p.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, item) AS rn, count(*) OVER (PARTITION BY vec_id) AS n FROM s WHERE score >= 0.4)
+SELECT e.vec_id, coalesce(n, 0) AS n_items, item AS best_item, score AS best_score, n IS NOT NULL AS contaminated FROM embeddings e LEFT JOIN h ON h.vec_id = e.vec_id AND rn = 1""")
+def _(spark, d):
+    """Every row's similar test items. The vectors of ids divisible by 20 stand for the items; at random few pairs reach 0.4."""
+    rows = t(spark, d, "embeddings")
+    return vectors.contamination(rows, rows.where("vec_id % 20 = 0"), 0.4, "vec_id", "embedding")
+
+
+@add("d11_semantic_duplicates")
+def _(spark, d):
+    """Which vectors go as semantic duplicates; the cells depend on sums of floating point numbers, so there is no SQL."""
+    return vectors.semantic_duplicates(t(spark, d, "embeddings"), "vec_id", "embedding", 0.9)
