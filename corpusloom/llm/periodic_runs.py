@@ -233,7 +233,9 @@ def planted(docs: DataFrame) -> DataFrame:
     rest = F.col("n") - F.col("a")
     rows = rows.select("*", (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int").alias("p"))
     tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
-    return rows.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", F.concat(F.slice("w", F.lit(1), F.col("a")), tail))).otherwise(F.col("text")).alias("text"))
+    text = F.when(F.col("n") > 0, F.concat_ws(" ", F.concat(F.slice("w", F.lit(1), F.col("a")), tail))).otherwise(F.col("text"))
+    # a generator's column: a filter on it cannot be moved below it, where the words would be taken from the text once for each mention
+    return rows.select("doc_id", F.explode(F.array(text)).alias("text"))
 
 
 def most_periods(runs: Column) -> Column:
