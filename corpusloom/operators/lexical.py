@@ -1,14 +1,17 @@
 """Ranked text search over an inverted index, and the fusion of ranked lists.
 
 The index holds each term's documents in blocks of about BLOCK documents, with the largest weight in the block; a frequent term has many blocks, so no task and no group holds
-all of its documents. A search first takes a lower bound of each query's k-th score from its rarest terms, then the terms that a document of that score must
+all of its documents. A block's terms lie in one bucket of the table: the queries are sent to the blocks, which are not shuffled again and give only their k best documents of a query. A search first takes a lower bound of each query's k-th score from its rarest terms, then the terms that a document of that score must
 have, then the blocks whose largest weights reach the bound, and scores the documents of those blocks in full. What is skipped is below the bound: results are exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ K1, B = 1.2, 0.75
 UNIT = 1_000_000
 #: Documents in a block, on average; documents that a query's first bound is taken from, of one term.
 BLOCK, FIRST = 256, 4096
+#: Buckets of an index at most; query terms that are broadcast at most.
+MOST_BUCKETS, FEW_TERMS = 20_000, 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,11 +35,16 @@ def terms_of(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """``blocks``: (block, term, n, top, postings of (doc, part)). ``documents``: all that were indexed, with or without words."""
+    """``blocks``: (block, term, n, top, docs, parts), bucketed by block. ``documents``: all that were indexed, with or without words."""
 
     blocks: DataFrame
     documents: int
     n_blocks: int
+    table: str
+
+    def drop(self) -> None:
+        """Forget the table's name; the files below its path stay."""
+        self.blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def weight(tf: Column, length: Column, average: float) -> Column:
@@ -58,19 +68,27 @@ def inverted_index(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     n_blocks = max(1, -(-known.n // block))
     average = (known.words or 0) / max(1, known.n) or 1.0
     at = F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).cast("int").alias("block")
-    dealt = rows.select(at, "doc", "text").repartition("block").select("block", "doc", terms_of(F.col("text")).alias("terms"))
+    buckets = max(1, min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS))
+    dealt = rows.select(at, "doc", "text").repartition(buckets, "block").select("block", "doc", terms_of(F.col("text")).alias("terms"))
     dealt = dealt.withColumn("length", F.sum(F.size("terms")).over(Window.partitionBy("block", "doc")))
     counted = dealt.select("block", "doc", "length", F.explode("terms").alias("term")).groupBy("block", "doc", "length", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.select("block", "term", F.struct("doc", weight(F.col("tf"), F.col("length"), average).alias("part")).alias("p"))
-    blocks = weighed.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("p.part").alias("top"), F.collect_list("p").alias("postings"))
-    stored(blocks, "blocks", f"{path}/blocks")
-    spark.createDataFrame([(known.n, n_blocks)], "documents long, n_blocks long").write.parquet(f"{path}/statistics")
+    weighed = counted.select("block", "term", "doc", weight(F.col("tf"), F.col("length"), average).alias("part"))
+    both = F.struct("doc", "part")
+    blocks = weighed.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("part").alias("top"), F.collect_list(both).alias("p"))
+    blocks = blocks.select("block", "term", "n", "top", F.col("p.doc").alias("docs"), F.col("p.part").alias("parts"))
+    name = f"index_{uuid.uuid4().hex}"
+    blocks.write.option("compression", "zstd").bucketBy(buckets, "block").sortBy("block", "term").option("path", f"{path}/blocks").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the name; the files stay
+    spark.createDataFrame([(known.n, n_blocks, buckets)], "documents long, n_blocks long, buckets long").write.parquet(f"{path}/statistics")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
+    """The index below ``path`` under a name of this session's catalog."""
     known = spark.read.parquet(f"{path}/statistics").first()
-    return Index(spark.read.parquet(f"{path}/blocks"), known.documents, known.n_blocks)
+    table = f"index_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (block INT, term STRING, n BIGINT, top DOUBLE, docs ARRAY<BIGINT>, parts ARRAY<DOUBLE>) USING parquet CLUSTERED BY (block) SORTED BY (block, term) INTO {known.buckets} BUCKETS LOCATION '{path}/blocks'")
+    return Index(spark.table(table), known.documents, known.n_blocks, table)
 
 
 def impact(idf: str, part: str) -> Column:
@@ -83,10 +101,44 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def sums(terms: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
-    """(query, doc, score) of the documents in the joined blocks; a block's documents are summed up where they lie before anything is shuffled."""
-    some = terms.join(postings.select("block", "term", "postings"), on).select("query", "idf", F.explode("postings").alias("p"))
-    return some.select("query", F.col("p.doc").alias("doc"), impact("idf", "p.part").alias("i")).groupBy("query", "doc").agg(F.sum("i").alias("score"))
+def scored(k: int):
+    """A block's terms and the terms that queries send to it, to the k best documents of each query in the block."""
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        none = pa.table({"query": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        if not block.num_rows or not asked.num_rows:
+            return none
+        block = block.combine_chunks()
+        docs, parts = block.column("docs").combine_chunks(), block.column("parts").combine_chunks()
+        offsets = np.asarray(docs.offsets)
+        ids, local = np.unique(np.asarray(docs.values), return_inverse=True)
+        parts = np.asarray(parts.values)
+        at = {t: i for i, t in enumerate(block.column("term").to_pylist())}
+        rows = np.array([at.get(t, -1) for t in asked.column("term").to_pylist()])
+        queries, idf = np.asarray(asked.column("query")), np.asarray(asked.column("idf"))
+        keep = rows >= 0
+        rows, queries, idf = rows[keep], queries[keep], idf[keep]
+        order = np.argsort(queries, kind="stable")
+        rows, queries, idf = rows[order], queries[order], idf[order]
+        cuts = np.append(0, np.flatnonzero(queries[1:] != queries[:-1]) + 1) if len(rows) else np.zeros(0, dtype=np.int64)
+        out = []
+        for low, high in zip(cuts, np.append(cuts[1:], len(rows))):
+            some = rows[low:high]
+            sizes = offsets[some + 1] - offsets[some]
+            where = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[some], sizes)
+            impacts = np.floor(float(UNIT) * (np.repeat(idf[low:high], sizes) * parts[where]))
+            totals = np.bincount(local[where], weights=impacts, minlength=len(ids)).astype(np.int64)  # whole numbers: exact
+            held = np.unique(local[where])
+            best_of = held[np.lexsort((ids[held], -totals[held]))[:k]]
+            out.append(pa.table({"query": np.full(len(best_of), queries[low]), "doc": ids[best_of], "score": totals[best_of]}))
+        return pa.concat_tables(out) if out else none
+
+    return run
+
+
+def sums(terms: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query, doc, score): the k best documents by the sums over ``terms`` (block, query, term, idf) in each block that a query names."""
+    return blocks.select("block", "term", "docs", "parts").groupBy("block").cogroup(terms.select("block", "query", "term", "idf").groupBy("block")).applyInArrow(scored(k), "query long, doc long, score long")
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, key: str = "item_id", text: str = "text", first: int = FIRST) -> DataFrame:
@@ -100,6 +152,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, key: str = "item_id",
     with Tables(spark) as tables:
         words = tables.stored(words, "query-terms")
         used = words.select("term").distinct()
+        if used.count() <= FEW_TERMS:  # small enough to be sent to all tasks: the other terms are not read any further
+            blocks = blocks.join(F.broadcast(used), "term", "left_semi")
         tops = tables.stored(blocks.select("block", "term", "n", "top").join(used, "term", "left_semi"), "block-tops")
         by_term = tops.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top"))
         terms = words.join(by_term, "term").withColumn("idf", rarity(F.lit(float(index.documents)), F.col("df"))).withColumn("most", impact("idf", "top"))
@@ -108,9 +162,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, key: str = "item_id",
         # a first bound: sums over the rarest terms, of frequent ones over some of their blocks, are at most the scores
         before = F.sum("df").over(Window.partitionBy("query").orderBy("df", "term")) - F.col("df")
         rarest = terms.withColumn("before", before).where(F.col("before") < 4 * k).select("query", "term", "idf", F.ceil(F.lit(float(index.n_blocks) * first) / F.col("df")).alias("upto"))
-        some = rarest.join(tops.select("block", "term"), "term").where(F.col("block") < F.col("upto")).select("query", "term", "idf", "block")
-        some = sums(some, blocks, ["block", "term"])
-        bound = best(some, k).groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("bound"))
+        some = rarest.join(tops.select("block", "term"), "term").where(F.col("block") < F.col("upto"))
+        bound = best(sums(some, blocks, k), k).groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("bound"))
         bound = tables.stored(bound, "bounds")
 
         # terms of small weight, which together stay below the bound: a document with these alone is no result
@@ -120,8 +173,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, key: str = "item_id",
         rest = split.groupBy("query", "bound").agg(F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0)).alias("rest"))
         reach = split.where("NOT weak").select("query", "term", "idf").join(tops, "term").select("query", "block", impact("idf", "top").alias("i"))
         reach = reach.groupBy("query", "block").agg(F.sum("i").alias("reach")).join(rest, "query").where("reach + rest >= bound").select("query", "block")
-        wanted = tables.stored(reach.join(terms.select("query", "term", "idf"), "query"), "wanted-blocks")
-        return tables.kept(best(sums(wanted, blocks, ["block", "term"]), k), "search")
+        wanted = reach.join(terms.select("query", "term", "idf"), "query")
+        return tables.kept(best(sums(wanted, blocks, k), k), "search")
 
 
 def ranked(scored: DataFrame, query: str, candidate: str, score: str, depth: int) -> DataFrame:

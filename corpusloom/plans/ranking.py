@@ -26,7 +26,10 @@ sc AS (SELECT query, doc, CAST(sum(CAST(floor(1000000e0 * (idf * (tf * 2.2e0 / (
 def bm25(spark, d, k: int):
     path = new_path(spark, "index")
     try:
-        return lexical.search(lexical.inverted_index(t(spark, d, "documents"), path), t(spark, d, "benchmark"), k)
+        index = lexical.inverted_index(t(spark, d, "documents"), path)
+        found = lexical.search(index, t(spark, d, "benchmark"), k)
+        index.drop()
+        return found
     finally:
         delete(spark, path)
 

@@ -64,7 +64,7 @@ def test_search_equals_brute_force(spark, tmp_path, block, first, k):
 def test_blocks_hold_every_posting_once_and_their_largest_weight(spark, tmp_path):
     docs, _ = case(3, 120)
     index = lexical.inverted_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "index"), block=8)
-    rows = index.blocks.select("block", "term", "n", "top", F.explode("postings").alias("p")).select("block", "term", "n", "top", "p.*").collect()
+    rows = index.blocks.select("block", "term", "n", "top", F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.col("parts").alias("part"))).alias("p")).select("block", "term", "n", "top", "p.*").collect()
     held = {(i, w) for i, t in docs if i is not None for w in words(t)}
     assert len(rows) == len(held) and {(r.doc, r.term) for r in rows} == held
     by = {}
