@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexical, retrieval, vectors
 from ..operators._tables import delete, new_path
+from ..streaming import upsert
 from ._base import Book, t
 
 BOOK = Book()
@@ -78,3 +79,17 @@ def _(spark, d):
 def _(spark, d):
     """Which vectors go as semantic duplicates; the cells depend on sums of floating point numbers, so there is no SQL."""
     return vectors.semantic_duplicates(t(spark, d, "embeddings"), "vec_id", "embedding", 0.9)
+
+
+@add("w1_stream_upsert", "SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def _(spark, d):
+    """Events as eight files of a stream that ends in the latest row of each user."""
+    events = t(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    folder = new_path(spark, "upsert")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    table = upsert.UpsertTable(spark, f"{folder}/table", schema, "user_id", "ts", "event_id")
+    upsert.upsert_files(table, f"{folder}/in", f"{folder}/checkpoint", files_per_batch=3)
+    table.forget()
+    delete(spark, f"{folder}/in")
+    return table.read()
