@@ -99,11 +99,14 @@ class Lines(HTMLParser):
         self.names, self.parents = [""], [0]  # by number; 0 is the page
         self.wants = [WANTED]
         self.within = [False]  # in an article around
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
+        self.link = False  # in a link whose text is still in the block in which it began
+        self.crossed: tuple[int, int] | None = None  # lines and open holders when a link began that blocks have followed: linked only if it is closed
         self.skip: list[str] = []
         self.inline: list[str] = []  # marked elements that hold no blocks
         self.parts: list[str] = []
         self.block = ""  # the latest block that opened
+        self.began = (0, 0)
 
     def _wants(self, tag: str, attrs: list) -> int:
         inside = bool(self.open) and self.open[-1][2]
@@ -137,10 +140,11 @@ class Lines(HTMLParser):
             if tag != "head" and tag not in VOID:
                 self.skip.append(tag)
             return
-        if tag == "a":
-            self.links += 1
+        if tag == "a":  # ends one that is left open
+            self.link, self.crossed, self.began = True, None, (len(self.lines), len(self.open))
         if tag in BLOCKS:
             self.cut()
+            self._cross()
             if tag not in VOID:
                 self.block = tag
         if tag in HOLDERS:
@@ -154,6 +158,18 @@ class Lines(HTMLParser):
             self.cut()
             self.inline.append(tag)
 
+    def _cross(self) -> None:
+        """A block begins or ends in a link: what follows is linked only if the link is closed later."""
+        if self.link:
+            self.link, self.crossed = False, self.began
+
+    def _close_link(self) -> None:
+        if self.crossed:
+            for line in self.lines[self.crossed[0] :]:
+                line.linked = len(line.text.replace(" ", ""))
+            self.linked = len("".join("".join(self.parts).split()))
+        self.link, self.crossed = False, None
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             self.handle_starttag(tag, attrs)
@@ -170,16 +186,18 @@ class Lines(HTMLParser):
                 self.skip.clear()
             return
         if tag == "a":
-            self.links = max(0, self.links - 1)
+            self._close_link()
         if tag in BLOCKS:
             self.cut()
+            self._cross()
             self.block = ""
         if tag in HOLDERS:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
                     del self.open[k:]
                     self.inline.clear()
-                    self.links = 0
+                    if self.crossed and self.crossed[1] > k:  # the link was left open in what ends here
+                        self.crossed = None
                     break
         elif self.inline and tag == self.inline[-1]:
             self.cut()
@@ -188,7 +206,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.parts.append(data)
-            if self.links:
+            if self.link:
                 self.linked += len("".join(data.split()))
 
 
@@ -253,18 +271,16 @@ def wanted_lines(parser: Lines, share: float) -> list[Line]:
 
 def without_link_lines(parser: Lines, lines: list[Line]) -> list[Line]:
     """Lines but for those of links only: single ones in no list and no heading, and lists and tables all of whose lines are such."""
+    lists = [0] * len(parser.names)  # the nearest list or table around a holder's lines
+    for h in range(1, len(lists)):
+        lists[h] = h if parser.names[h] in ("ul", "ol", "dl", "table") else lists[parser.parents[h]]
     linked, whole = [0] * len(parser.names), [0] * len(parser.names)
     for x in lines:
-        h = x.holder
-        while h and parser.names[h] not in ("ul", "ol", "dl", "table"):
-            h = parser.parents[h]
-        whole[h] += 1
-        linked[h] += x.only_links()
+        whole[lists[x.holder]] += 1
+        linked[lists[x.holder]] += x.only_links()
     out = []
     for x in lines:
-        h = x.holder
-        while h and parser.names[h] not in ("ul", "ol", "dl", "table"):
-            h = parser.parents[h]
+        h = lists[x.holder]
         menu = linked[h] == whole[h] if h else x.block not in HEADINGS | LISTED
         if not (x.only_links() and menu):
             out.append(x)
@@ -280,7 +296,8 @@ def region(parser: Lines, wanted: list[Line], content: list[Line], share: float)
             return inside
     # the innermost element of all content lines; a list, table or quotation is part of an article and not one
     whole = [h for h, v in enumerate(votes) if v == votes[0] and parser.names[h] in ("body", "main", "article", "section", "div", "center", "html")]
-    return downwards(parser, [h == max(whole) for h in range(len(votes))]) if whole else [True] * len(votes)
+    innermost = max(whole, default=0)
+    return downwards(parser, [h == innermost for h in range(len(votes))]) if whole else [True] * len(votes)
 
 
 def extended(parser: Lines, wanted: list[Line], inside: list[bool]) -> list[Line]:
@@ -333,7 +350,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars) of every page: the article's blocks in page order, one to a line.
 
     Character references are decoded, white space in a block is one space; nothing of the article is dropped or cut. Null
-    and empty pages, and pages with markup only, give an empty text. Tags that are left open or cut off are tolerated. Pages are
+    and empty pages, and pages with markup only, give an empty text. Tags that are left open or cut off are tolerated; a link that is left open ends with its block. Pages are
     taken one by one: repeated rows give repeated rows, ids and urls may be null, other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

@@ -142,3 +142,34 @@ def test_base_places_equal_sql_and_spans(spark):
     by = {r.doc_id: r for r in got}
     assert by[7].labels == "mit" and by[7].spans[0].start == 1 and by[7].score > 0.9 and by[8].labels == "bsd" and by[1].labels == ""
     assert ls.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_that_are_left_open_end_with_their_block():
+    w = LONG.strip()
+    ten = " ".join([w] * 10)
+    assert main_text(f"<div><p><a href=x>top link</p><p>{ten}</p><p>{w}</p></div>") == f"{ten}\n{w}"
+    assert main_text(f"<article><h1>Head</h1><p><a href=x>{w}<p>{ten}</p><a href=y>next <p>{w}</p></article>") == f"Head\n{ten}\n{w}"
+    assert main_text(f"<article><div><a href=x>one<a href=y>two</a></div><p>{ten}</p></article>") == ten
+    # a link around blocks that is closed covers them all
+    assert main_text(f"<article><p>{ten}</p><a href=x><div><h4>Card</h4><p>Buy the {w}</p></div></a><p>{w}</p></article>") == f"{ten}\nCard\n{w}"
+
+
+def test_open_links_never_empty_a_page():
+    rng = random.Random(21)
+    ten = "word " * 60
+    for _ in range(200):
+        parts = []
+        for k in range(rng.randrange(2, 6)):
+            link = rng.choice(["", "", f"<a href=/{k}>", f"<a href=/{k}>here", f"<a href=/{k}>here</a>"])
+            parts.append(f"<p>{rng.choice(['', link])}{'' if rng.random() < 0.5 else 'Start '}{link} x {ten} end{k}.{rng.choice(['</p>', ''])}")
+        got = main_text(f"<html><body><article><h1>T</h1>{''.join(parts)}<p>{ten}</p></article></body></html>")
+        assert got.endswith(ten.strip()) and got.startswith("T")
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 20_000 + "text", "<div>" * 4000 + "".join(f"<p>line {k}</p>" for k in range(4000)), "<ul>" * 3000 + "<li><a href=x>a</a>" * 3000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 2.5
