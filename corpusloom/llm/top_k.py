@@ -20,6 +20,8 @@ from ._store import Scratch, read_table, stored
 
 #: Queries of a block, about; the longest vectors that give the first bounds; vectors that are scored at a time.
 BLOCK, SEEDS, ROWS = 8192, 2048, 4096
+#: Bytes of a block's queries, which are broadcast, and with them its most queries where vectors are long.
+BLOCK_BYTES = 32 << 20
 #: Blocks whose searches run in one job; so many broadcasts are held at a time.
 WAVE = 8
 #: Rows of a stored partition, about.
@@ -63,7 +65,7 @@ class Best:
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), d)
 
 
 def search(shared, k: int):
@@ -125,7 +127,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     """(query_id, rank, vec_id, score): the k vectors of the largest integer inner products with each query.
 
     Components count as floor(scale * x). Queries are the rows that ``is_query`` (an expression of vec_id) names; a query's
-    candidates are all rows of other ids and of as many components. Ties go to the smaller id; with fewer candidates
+    candidates are all rows of other ids and of as many components; vectors without components score 0. Ties go to the smaller id; with fewer candidates
     all are returned. Rows without an id, without a vector, or with null or non-finite components take no part. Repeated rows
     are candidates each and queries each, in whatever order files are read. Other columns are not read; an empty table gives no rows. A score
     beyond 64 bits is an error.
@@ -150,7 +152,7 @@ def blocks_of(by_length: DataFrame, queries: DataFrame, d: int, k: int) -> list[
     seeds = by_length.orderBy(F.col("length").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow().combine_chunks()
     seed_ids = np.asarray(seeds.column("vec_id")).astype(np.int64)
     seed_rows = matrix(seeds.column("v").combine_chunks(), d) if d else np.zeros((len(seed_ids), 0))
-    blocks = max(1, -(-queries.count() // BLOCK))
+    blocks = max(1, -(-queries.count() // max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, d))))))
     results = []
     for wave in range(0, blocks, WAVE):
         found, shares = None, []

@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import numpy as np
 import pytest
@@ -80,3 +82,17 @@ def test_several_blocks_and_waves_with_repeated_ids(spark, monkeypatch):
             best = sorted((-int(v @ w), c) for c, w in whole if c != q)[:3]
             expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(expected)
+
+
+def test_empty_and_long_vectors(spark, monkeypatch):
+    """Vectors without components score 0 with each other; long ones go in smaller blocks of queries."""
+    monkeypatch.setattr(top_k, "BLOCK_BYTES", 8 * 40 * 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, [] if i % 7 == 0 else rng.normal(size=40).tolist(), "x") for i in range(60)]
+    got = {tuple(r) for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"), F.col("vec_id") % 2 == 0).collect()}
+    whole = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows}
+    expected = set()
+    for q in range(0, 60, 2):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q and len(whole[c]) == len(whole[q]))
+        expected |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(scores[:5])}
+    assert got == expected
