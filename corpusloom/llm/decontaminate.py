@@ -35,7 +35,7 @@ def words_of(text: Column) -> Column:
 def item_windows(bench: DataFrame, item_id: str, text_col: str, n: int) -> DataFrame:
     """(m, pos, window, item) of every window: n words, or all words of a shorter item."""
     items = bench.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text_col)).alias("w"))
-    items = items.where("item is not null").withColumn("m", F.least(F.size("w"), F.lit(n))).where("m > 0")
+    items = items.withColumn("m", F.least(F.size("w"), F.lit(n))).where("m > 0")
     starts = F.explode(F.sequence(F.lit(0), F.size("w") - F.col("m"))).alias("pos")
     rows = items.select("item", "m", "w", starts)
     return rows.select("item", "m", F.slice("w", F.col("pos") + 1, F.col("m")).alias("window"))
@@ -51,7 +51,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc
     scratch = scratch or Scratch(docs.sparkSession)
     windows = item_windows(bench, item_id, item_text, n)
     windows = scratch.stored(windows.select("m", F.array_join("window", " ").alias("words"), "window", "item").distinct(), "test-windows")
-    sizes = windows.groupBy("m").agg(F.sum(F.octet_length("words") + F.octet_length("item") + 16 * F.col("m")).alias("bytes")).collect()  # at most n rows
+    sizes = windows.groupBy("m").agg(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 16 * F.col("m")).alias("bytes")).collect()  # at most n rows
     if not sizes:
         return docs.sparkSession.createDataFrame([], "oid long, th long, start int, m int, item string")
     small = sum(r["bytes"] for r in sizes) <= max_broadcast_bytes
@@ -91,7 +91,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "mark", n: int
     "documents" leaves out contaminated documents; "spans" removes the hit words from contaminated
     texts (their other words are then lower-cased and joined by spaces). Null and empty texts have no words and
     are never hit; repeated rows get the same marks each; extra columns stay, those named like a mark are replaced.
-    A text of any length takes time in proportion to it. Empty tables give no hits.
+    A text of any length takes time in proportion to it. Words of an item without an id are hit, but it is in no list of items. Empty tables give no hits.
     """
     marks = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     oid, th, spots_in, items_in, w = free_name(docs.drop(*marks) if mode == "mark" else docs, "oid", "th", "spots", "items_found", "w")

@@ -71,3 +71,16 @@ def test_windows_of_many_lengths(spark):
     docs = [(m, f"{t} b c d {t} e f {t}") for m, t in items] + [(100, "b c d e f")]
     got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == {m: (3 * m, [str(m)]) for m, _ in items} | {100: (0, [])}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_items_without_an_id_hit_words_and_are_in_no_list(spark, limit):
+    bench = [(None, ITEM), (2, "Tiny item!"), (None, "other text")]
+    docs = [(i, t) for i, t in enumerate(t for _, t in DOCS)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in docs], "text": pa.array([r[1] for r in docs], pa.string())}))
+    con.register("benchmark", pa.table({"item_id": pa.array([r[0] for r in bench], pa.int64()), "text": [r[1] for r in bench]}))
+    expected = {r[0]: (r[1], r[2], r[3], r[5]) for r in con.execute(OP7_SQL).fetchall()}
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), max_broadcast_bytes=limit)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out.collect()} == expected
+    assert any(n_hit and not n_items for _, n_hit, n_items, _ in expected.values())
