@@ -29,8 +29,6 @@ PRIOR, MIN_RATIO = 10.0, 18.0
 BEGINNINGS = (5, 6)
 #: Score of all other tokens: rare enough toxic words end a passage.
 DRIFT = -0.35
-#: Tokens kept, at most: those of the largest statistic.
-MAX_TOKENS = 20_000
 #: Segments are significant if chance gives one in a text with at most this probability.
 ALPHA = 0.05
 
@@ -141,7 +139,7 @@ def decay_of(values: np.ndarray, weights: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def learn(docs: list[np.ndarray], labels: np.ndarray, max_tokens: int) -> Model | None:
+def learn(docs: list[np.ndarray], labels: np.ndarray) -> Model | None:
     """Token scores and the extreme-value law from documents' (forms, words); None without tokens that tell."""
     n = np.array([(labels == c).sum() for c in (0, 1)], dtype=float)
     if min(n) == 0:
@@ -155,7 +153,6 @@ def learn(docs: list[np.ndarray], labels: np.ndarray, max_tokens: int) -> Model
     expected = np.maximum(counts.sum(axis=0) * (n / n.sum())[:, None], 1e-12)
     ratio = 2 * (counts * np.log(np.maximum(counts, 1e-12) / expected)).sum(axis=0)
     keep = np.flatnonzero((ratio >= MIN_RATIO) & (odds > 0))
-    keep = np.sort(keep[np.argsort(-ratio[keep], kind="stable")[:max_tokens]])
     if not len(keep):
         return None
     model = Model(vocabulary[keep], np.minimum(odds[keep], 6.0), 1.0, 1.0, 1.0, 0.0)
@@ -168,7 +165,7 @@ def learn(docs: list[np.ndarray], labels: np.ndarray, max_tokens: int) -> Model
     return Model(model.hashes, model.scores, decay, 1.0 / max(np.mean(rates) if rates else 1.0, 1e-9), 1.0, 0.0)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, max_tokens: int = MAX_TOKENS) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """The model of labelled texts; copies count once. The calibration sees each half through the other half's model."""
     none = Model(np.zeros(0, dtype=U), np.zeros(0), 1.0, 1.0, 1.0, math.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)) if len(labels) else -2.0)
     docs, ys, seen = [], [], set()
@@ -183,13 +180,13 @@ def fit(texts: pa.Array, labels: np.ndarray, max_tokens: int = MAX_TOKENS) -> Mo
                 docs.append(own.copy())
                 ys.append(y)
     y = np.array(ys, dtype=int)
-    model = learn(docs, y, max_tokens)
+    model = learn(docs, y)
     if model is None:
         return none
     x = np.zeros(len(docs))
     half = np.arange(len(docs)) % 2
     for h in (0, 1):
-        other = learn([d for d, k in zip(docs, half, strict=True) if k != h], y[half != h], max_tokens) or model
+        other = learn([d for d, k in zip(docs, half, strict=True) if k != h], y[half != h]) or model
         for k in np.flatnonzero(half == h):
             x[k] = total_evidence(found_segments(other, other.token_scores(docs[k])))
     weight, bias = 1.0, 0.0
@@ -232,8 +229,11 @@ def bounded_sample(rows: DataFrame, n: int, *more: str) -> pa.Table:
     keys = ["sid", "sh", *more]
     rank = F.md5(F.col("sid").cast("string"))
     sizes = keyed.groupBy(*keys).agg(F.max(F.octet_length("text")).alias("size")).orderBy(rank, *keys).limit(n).toArrow()
-    within = np.cumsum(np.asarray(sizes.column("size"), dtype=np.int64)) <= MAX_BYTES
-    chosen = rows.sparkSession.createDataFrame(sizes.filter(pa.array(within)).select(keys))
+    within, total = [], 0
+    for size in sizes.column("size").to_pylist():  # a text that does not fit is passed over
+        within.append(total + size <= MAX_BYTES)
+        total += size * within[-1]
+    chosen = rows.sparkSession.createDataFrame(sizes.filter(pa.array(within, pa.bool_())).select(keys))
     got = keyed.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys)
     return got.orderBy(rank, *keys).select("text", *more).toArrow()
 
@@ -241,8 +241,8 @@ def bounded_sample(rows: DataFrame, n: int, *more: str) -> pa.Table:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, id_col: str, text_col: str) -> tuple[pa.Array, np.ndarray]:
     """Texts and 0/1 labels of at most ``max_train`` labelled documents, the same ones each time."""
     picked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("sid"), F.col(label).cast("int").alias("y")).distinct()
-    # that many ids hold enough rows wherever every labelled id has a document
-    picked = picked.orderBy(F.md5(F.col("sid").cast("string")), "sid", "y").limit(max_train)
+    there = docs.select(F.col(id_col).cast("long").alias("sid"))
+    picked = picked.join(there, "sid", "left_semi").orderBy(F.md5(F.col("sid").cast("string")), "sid", "y").limit(max_train)
     rows = docs.select(F.col(id_col).cast("long").alias("sid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "sid")
     got = bounded_sample(rows, max_train, "y")
     return got.column("text").combine_chunks(), got.column("y").to_numpy().astype(int)
@@ -256,7 +256,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train
     is a passage and every score is the labels' share of 1. Repeated rows are scored each; other columns are not read.
     """
     texts, y = labelled_sample(docs, labels, label, max_train, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y))  # at most MAX_TOKENS tokens
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y))  # tokens of the bounded sample
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scorer(shared), RESULT)
 
 

@@ -215,3 +215,12 @@ def test_host_and_suffix(spark):
     df = spark.createDataFrame([("https://u@WWW.Example.de:80/x",), (None,), ("nothing",)], "url string")
     got = df.select(language_id.host_of(F.col("url")).alias("h")).select("h", language_id.suffix_of(F.col("h")).alias("s")).collect()
     assert [tuple(r) for r in got] == [("www.example.de", "de"), ("", ""), ("", "")]
+
+
+def test_texts_that_do_not_fit_are_passed_over(spark, monkeypatch):
+    """One text above the bytes must not end the sample, and labels of absent documents must not use it up."""
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 1000)
+    docs = spark.createDataFrame([(i, ("long " * 400) if i % 5 < 3 else f"short {i}", "c") for i in range(100)], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled_sample(docs, labels, "toxic", 100, "doc_id", "text")
+    assert sorted(t for t in texts.to_pylist()) == sorted(f"short {i}" for i in range(100) if i % 5 >= 3) and len(y) == 40 and 0 < y.sum() < 40
