@@ -23,12 +23,20 @@ def pooled(vectors: Column, mask: Column) -> Column:
     return F.get(bound, F.lit(0))
 
 
+def whole(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows with an id and a vector of numbers only."""
+    fine = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x))
+    return df.where(F.coalesce(fine, F.lit(False)))
+
+
 def top_k(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int = 32, block: int = 1024) -> DataFrame:
     """(query, candidate, score, rank): the k largest inner products, rounded to 6 places; ties by the smaller id.
 
-    Queries go in blocks of about ``block`` rows to all tasks of the pool; each task returns its best k of each query.
+    Queries go in blocks of about ``block`` rows to all tasks of the pool; each task returns its best k of each query. Rows without an id,
+    without a vector or with null or undefined components take no part.
     """
     spark = pool.sparkSession
+    queries, pool = whole(queries, key, vector), whole(pool, key, vector)
     blocks = max(1, -(-queries.count() // block))
     out = None
     for b in range(blocks):
@@ -58,6 +66,8 @@ def top_k(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int = 3
         found = pool.select(F.col(key).cast("long"), vector).mapInArrow(run, "query long, candidate long, score double")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "candidate"))
+    if out is None:
+        return spark.createDataFrame([], "query long, candidate long, score double, rank int")
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
