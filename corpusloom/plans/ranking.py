@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical, retrieval, vectors
+from ..operators import lexical, retrieval, significance, vectors
 from ..operators._tables import delete, new_path
 from ..streaming import upsert
 from ._base import Book, t
@@ -93,3 +93,47 @@ def _(spark, d):
     table.forget()
     delete(spark, f"{folder}/in")
     return table.read()
+
+
+def sql_p(z: str) -> str:
+    """The expression of ``significance.two_sided_p``."""
+    series = "0e0"
+    for c in reversed(significance.ERFC):
+        series = f"(({series} + {c!r}::DOUBLE) * (1 / (1 + {significance.ERFC_P!r}::DOUBLE * (abs({z}) / sqrt(2e0)))))"
+    return f"({series} * exp(-(abs({z}) / sqrt(2e0)) * (abs({z}) / sqrt(2e0))))"
+
+
+@add("wilcoxon_positions", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(embedding[1:32] AS DOUBLE[]) AS h FROM embeddings),
+s AS (SELECT q.vec_id AS query, p.vec_id AS cand, round(list_dot_product(q.v, p.v), 6) AS a, round(list_dot_product(q.h, p.h), 6) AS b FROM e q, e p WHERE q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
+o AS (SELECT query, min(a) AS oa, min(b) AS ob FROM s WHERE cand = query + 1 GROUP BY query),
+r AS (SELECT s.query, count(*) FILTER (a > oa) - count(*) FILTER (b > ob) AS d FROM s JOIN o USING (query) GROUP BY s.query),
+k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY abs(d)) AS g FROM r WHERE d <> 0),
+w AS (SELECT count(*) AS n, (SELECT count(*) FROM r WHERE d = 0) AS zero, sum(rk) FILTER (d > 0) AS w_plus, sum(rk) FILTER (d < 0) AS w_minus, CAST(sum(g * g - 1) AS DOUBLE) AS ties FROM k),
+z AS (SELECT *, (w_plus - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48) AS z FROM w)
+SELECT n, zero, w_plus, w_minus, round(z, 6) AS z, round({sql_p('z')}, 6) AS p FROM z""")
+def _(spark, d):
+    """Whether the first half of each vector ranks the true row (the next id) as well as the whole vector."""
+    rows = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    halves = rows.select("vec_id", F.slice("v", 1, 32).alias("v"))
+    a, b = (retrieval.counted_positions(x.where("vec_id % 20 = 0"), x, "vec_id", "v", F.col("vec_id") + 1) for x in (rows, halves))
+    pairs = a.select("query", F.col("pos").alias("pa")).join(b.select("query", F.col("pos").alias("pb")), "query")
+    out = significance.wilcoxon(pairs, "pa", "pb")
+    return out.select("n", "zero", "w_plus", "w_minus", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
+
+
+@add("fdr_returned_parts", f"""
+WITH r AS (SELECT avg(CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END) AS rate FROM lineitem),
+k AS (SELECT l_partkey, (count(*) FILTER (l_returnflag = 'R') - count(*) * any_value(rate)) / sqrt(count(*) * any_value(rate) * (1 - any_value(rate))) AS z FROM lineitem, r GROUP BY l_partkey),
+p AS (SELECT l_partkey, {sql_p('z')} AS p FROM k),
+c AS (SELECT l_partkey, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM p),
+q AS (SELECT l_partkey, p, least(1e0, min(raw) OVER (ORDER BY p DESC)) AS q FROM c)
+SELECT l_partkey, round(p, 8) AS p, round(q, 8) AS q, q <= 0.2 AS rejected FROM q""")
+def _(spark, d):
+    """Parts that are returned more or less often than all are, each a test of its own, at a false discovery rate of 20 %."""
+    lines = t(spark, d, "lineitem").select("l_partkey", (F.col("l_returnflag") == "R").cast("double").alias("r"))
+    rate = lines.agg(F.avg("r").alias("rate"))
+    parts = lines.groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("r").alias("k")).crossJoin(F.broadcast(rate))  # one row
+    z = (F.col("k") - F.col("n") * F.col("rate")) / F.sqrt(F.col("n") * F.col("rate") * (1 - F.col("rate")))
+    out = significance.false_discovery(parts.select("l_partkey", significance.two_sided_p(z).alias("p")), "p", 0.2)
+    return out.select("l_partkey", F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), "rejected")
