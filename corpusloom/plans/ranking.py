@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical, retrieval, significance, vectors
+from ..operators import huber, lexical, retrieval, significance, vectors
 from ..operators._tables import delete, new_path
 from ..streaming import upsert
 from ._base import Book, t
@@ -137,3 +137,12 @@ def _(spark, d):
     z = (F.col("k") - F.col("n") * F.col("rate")) / F.sqrt(F.col("n") * F.col("rate") * (1 - F.col("rate")))
     out = significance.false_discovery(parts.select("l_partkey", significance.two_sided_p(z).alias("p")), "p", 0.2)
     return out.select("l_partkey", F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), "rejected")
+
+
+@add("m2_huber_classifier")
+def _(spark, d):
+    """Train on two thirds of the labelled documents, score the others; optimised by gradients of floating point sums, so without SQL."""
+    df = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    model = huber.train(df.where("doc_id % 3 <> 0"), steps=15)
+    p = huber.scored(model, df.where("doc_id % 3 = 0"))
+    return p.select("doc_id", F.round(F.col("p")[1], 6).alias("score"), (F.col("p")[1] >= 0.5).cast("int").alias("predicted"))
