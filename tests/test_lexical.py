@@ -64,13 +64,18 @@ def test_search_equals_brute_force(spark, tmp_path, block, first, k):
 def test_blocks_hold_every_posting_once_and_their_largest_weight(spark, tmp_path):
     docs, _ = case(3, 120)
     index = lexical.inverted_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "index"), block=8)
-    rows = index.blocks.select("block", "term", "n", "top", F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.col("parts").alias("part"))).alias("p")).select("block", "term", "n", "top", "p.*").collect()
-    held = {(i, w) for i, t in docs if i is not None for w in words(t)}
-    assert len(rows) == len(held) and {(r.doc, r.term) for r in rows} == held
+    every = index.blocks.select("block", "term", "n", "most", "least", F.explode(F.arrays_zip(F.col("docs").alias("doc"), F.col("counts").alias("tf"))).alias("p")).select("block", "term", "n", "most", "least", "p.*").collect()
+    bags = {}
+    for i, t in docs:
+        if i is not None:
+            bags.setdefault(i, Counter()).update(words(t))
+    rows = [r for r in every if r.term is not None]
+    assert {(r.doc, r.tf) for r in every if r.term is None} == {(i, sum(b.values())) for i, b in bags.items()} and len(every) - len(rows) == len(bags)
+    assert {(r.doc, r.term, r.tf) for r in rows} == {(i, w, n) for i, b in bags.items() for w, n in b.items()} and len(rows) == sum(map(len, bags.values()))
     by = {}
     for r in rows:
         by.setdefault((r.block, r.term), []).append(r)
-    assert all(x[0].n == len(x) and x[0].top == max(r.part for r in x) for x in by.values())
+    assert all(x[0].n == len(x) and x[0].most == max(r.tf for r in x) and x[0].least == min(sum(bags[r.doc].values()) for r in x) for x in by.values())
     assert len({r.block for r in rows if r.term == "the"}) > 5  # a frequent term lies in many blocks
 
 
