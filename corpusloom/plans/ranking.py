@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import huber, lexical, retrieval, significance, vectors
+from ..operators import huber, lexical, lineage, retrieval, sampling, significance, vectors
 from ..operators._tables import delete, new_path
 from ..streaming import upsert
 from ._base import Book, t
@@ -146,3 +146,58 @@ def _(spark, d):
     model = huber.train(df.where("doc_id % 3 <> 0"), steps=15)
     p = huber.scored(model, df.where("doc_id % 3 = 0"))
     return p.select("doc_id", F.round(F.col("p")[1], 6).alias("score"), (F.col("p")[1] >= 0.5).cast("int").alias("predicted"))
+
+
+@add("s6_order_slices", """
+WITH e AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders),
+y AS (SELECT CAST(unnest(range(CAST(year(a) AS BIGINT), CAST(year(b) + 1 AS BIGINT))) AS INTEGER) AS y, a, b FROM e),
+s AS (SELECT y, strftime(greatest(make_date(y, 1, 1), a), '%Y-%m-%d') AS slice_from, strftime(least(make_date(y, 12, 31), b), '%Y-%m-%d') AS slice_until FROM y)
+SELECT slice_from, slice_until, count(o_orderkey) AS n FROM s LEFT JOIN orders ON year(CAST(o_orderdate AS DATE)) = y GROUP BY ALL""")
+def _(spark, d):
+    """Calendar slices from the first to the last order, and the orders of each."""
+    orders = t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    ends = orders.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    slices = sampling.calendar_slices(spark, str(ends.a), str(ends.b))
+    counts = orders.groupBy(F.year("day").alias("y")).agg(F.count("o_orderkey").alias("n"))
+    return slices.join(counts, F.substring("slice_from", 1, 4).cast("int") == F.col("y"), "left").select("slice_from", "slice_until", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+HALVES = """
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, CAST(embedding[1:32] AS DOUBLE[]) AS h FROM embeddings),
+s AS (SELECT q.vec_id AS query, p.vec_id AS cand, round(list_dot_product(q.v, p.v), 6) AS a, round(list_dot_product(q.h, p.h), 6) AS b FROM e q, e p WHERE q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id),
+o AS (SELECT query, min(a) AS oa, min(b) AS ob FROM s WHERE cand = query + 1 GROUP BY query),
+r AS (SELECT s.query, 1 + count(*) FILTER (a > oa) AS pa, 1 + count(*) FILTER (b > ob) AS pb FROM s JOIN o USING (query) GROUP BY s.query)"""
+
+
+def halves(spark, d):
+    """Positions of the true row (the next id) by whole vectors and by their first halves."""
+    rows = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    cut = rows.select("vec_id", F.slice("v", 1, 32).alias("v"))
+    return [retrieval.counted_positions(x.where("vec_id % 20 = 0"), x, "vec_id", "v", F.col("vec_id") + 1) for x in (rows, cut)]
+
+
+@add("r9_position_groups", f"WITH {HALVES} SELECT count(*) AS n, round(avg(CASE WHEN pa = 1 THEN 1 ELSE 0 END), 6) AS top_1, round(avg(1.0 / pa), 6) AS mrr, round(avg(1.0 / (SELECT count(*) - 1 FROM embeddings)), 6) AS chance FROM r")
+def _(spark, d):
+    """Group metrics of w9's positions; a query's group are all other rows."""
+    size = t(spark, d, "embeddings").agg((F.count("*") - 1).alias("size"))
+    return retrieval.group_metrics(halves(spark, d)[0].crossJoin(F.broadcast(size)), "pos", "size")  # one row
+
+
+@add("r10_paired_positions", f"WITH {HALVES} SELECT count(pa) AS n_a, count(pb) AS n_b, count(*) FILTER (pa <= 50 AND pb > 50) AS only_a, count(*) FILTER (pb <= 50 AND pa > 50) AS only_b FROM r")
+def _(spark, d):
+    """Queries whose true row only one of the two rankings has among its first 50."""
+    return retrieval.paired_counts(*halves(spark, d), "query", at=50)
+
+
+@add("h5_text_versions", """
+WITH o AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(length(text) AS BIGINT) AS size, sha256(text) AS h FROM documents WHERE n_chars >= 300),
+n AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(length(trim(text, chr(10))) AS BIGINT) AS size, sha256(replace(trim(text, chr(10)), chr(9), ' ')) AS h FROM documents WHERE n_chars < 5000)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'absent' WHEN o.path IS NULL THEN 'extra' ELSE 'altered' END AS kind
+FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.size <> n.size OR coalesce(o.h <> n.h, false)""")
+def _(spark, d):
+    """What differs between an index of the longer texts and one of the shorter texts after a cleaning step."""
+    rows = t(spark, d, "documents")
+    path, clean = F.col("doc_id").cast("string").alias("path"), F.trim("text", F.lit("\n"))
+    old = rows.where("n_chars >= 300").select(path, F.length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    new = rows.where("n_chars < 5000").select(path, F.length(clean).cast("long").alias("size"), F.sha2(F.translate(clean, "\t", " ").cast("binary"), 256).alias("sha256"))
+    return lineage.divergences(old, new)
