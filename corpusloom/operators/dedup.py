@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import licensing
 from ..functions.text import exact_key, normal_form
+from ._tables import stored
 
 #: Signature length, seed, bands and rows; the modulus keeps products below 2**62.
 N_PERM, SEED, BANDS, ROWS, MODULUS = 128, 17, 16, 8, 2**31 - 1
@@ -214,11 +214,7 @@ def scored_pairs(sigs: DataFrame, key: str, n_perm: int = N_PERM) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Lineage ends in a table in the shared folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, "cut")
 
 
 def clusters(pairs: DataFrame, rounds: int = 60) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import latex
 from ..operators import audit, classify, dedup, graph, lineage, retrieval, verify
+from ..operators._tables import new_path
 from ..streaming import incremental
 from ._base import Book, t, values
 from .relational import hashed
@@ -380,7 +379,7 @@ def _(spark, d):
 @add("s15_stream_resume", "SELECT source, count(*) AS n FROM documents WHERE n_chars >= 500 GROUP BY source")
 def _(spark, d):
     """The documents file as a stream, filtered, resumed once; a second run must add nothing."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     df = t(spark, d, "documents")
     df.select("doc_id", "source", "n_chars").write.parquet(f"{folder}/in")
     step = lambda s: s.where("n_chars >= 500")
