@@ -89,3 +89,14 @@ def test_labels_of_one_kind_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a word", 1)], "doc_id long, text string, label int")
     for rows in (df, df.limit(0)):
         assert [r.p for r in huber.scored(huber.train(rows, bits=8), df).select(F.col("p")).collect()] == [[0.5, 0.5]]
+
+
+def test_query_is_right_on_held_out_documents(spark, sf):
+    from corpusloom.plans import registry
+
+    got = registry.queries()["m2_huber_classifier"](spark, sf).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert got and {r.doc_id for r in got} <= {i for i in labels if i % 3 == 0}
+    right = sum(labels[r.doc_id] == r.predicted for r in got)
+    most = max(sum(labels[r.doc_id] == y for r in got) for y in (0, 1))
+    assert right >= most and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)

@@ -128,3 +128,16 @@ def test_k_means_sums_equal_one_pass(spark):
 def test_tables_without_usable_rows(spark):
     got = vc.semantic_duplicates(frame(spark, ODD[:6]), "vec_id", "embedding").collect()
     assert all(r.kept for r in got) and len(got) == 6
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The registered query over a table with near copies, one of which a third of all rows repeat."""
+    from corpusloom.plans import registry
+
+    rows = case(9, 200, d=24, copies=100, noise=0.03)
+    rng = np.random.default_rng(10)
+    rows += [(i + 1000, (np.array(rows[0][1]) + 0.02 * rng.normal(size=24) * np.linalg.norm(rows[0][1]) / 5).tolist()) for i in range(150)]
+    frame(spark, rows + ODD[:6]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["d11_semantic_duplicates"](spark, str(tmp_path)).collect()
+    gone, pairs = brute(rows, 0.9)  # one cell: all pairs
+    assert {r.id for r in got if not r.kept} == gone and len(gone) > 200 and all((r.id, r.witness) in pairs for r in got if not r.kept)
