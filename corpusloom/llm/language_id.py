@@ -181,10 +181,12 @@ def page_language_id(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     Null pages and URLs, pages without a declaration and repeated rows are as in language_id; other columns are not read.
     """
-    texts = html_text(pages, id_col, url_col, html_col).select("page_id", "text")
     tag = F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
-    marks = pages.select(F.col(id_col).cast("long").alias("page_id"), F.nullif(tag, F.lit("")).alias("declared"), host_of(F.col(url_col)).alias("host")).dropDuplicates(["page_id"])
-    return language_id(texts.join(marks, "page_id", "left"), "page_id", "text", "declared", "host", **options)
+    # each row keeps its own host and declaration: they go through the extraction in the place of the address, so ids need be neither there nor distinct
+    marks = F.to_json(F.struct(F.nullif(tag, F.lit("")).alias("declared"), host_of(F.col(url_col)).alias("host")))
+    rows = pages.select(F.col(id_col).alias("page_id"), marks.alias("marks"), F.col(html_col).alias("html"))
+    texts = html_text(rows, "page_id", "marks", "html").select("page_id", "text", F.from_json("url", "declared string, host string").alias("m"))
+    return language_id(texts.select("page_id", "text", "m.declared", "m.host"), "page_id", "text", "declared", "host", **options)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

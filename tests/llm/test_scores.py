@@ -224,3 +224,10 @@ def test_texts_that_do_not_fit_are_passed_over(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
     texts, y = toxicity.labelled_sample(docs, labels, "toxic", 100, "doc_id", "text")
     assert sorted(t for t in texts.to_pylist()) == sorted(f"short {i}" for i in range(100) if i % 5 >= 3) and len(y) == 40 and 0 < y.sum() < 40
+
+
+def test_pages_keep_their_own_host_and_declaration(spark):
+    """Rows of one id, and rows without an id, are judged by what stands in each of them."""
+    rows = [(1, "https://a.de/x", "<html lang=de><p>der die das"), (1, "https://b.fr/y", "<html lang='fr'><p>le la les"), (None, "https://c.es", "<html lang=es><p>el la los"), (None, None, "<p>one two"), (2, 'https://d.com/"q"', None)]
+    got = language_id.page_language_id(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.host, r.declared or "") for r in got) == sorted((i is None, i or 0, h, d) for i, h, d in [(1, "a.de", "de"), (1, "b.fr", "fr"), (None, "c.es", "es"), (None, "", ""), (2, "d.com", "")])
