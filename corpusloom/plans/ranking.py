@@ -201,3 +201,10 @@ def _(spark, d):
     old = rows.where("n_chars >= 300").select(path, F.length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     new = rows.where("n_chars < 5000").select(path, F.length(clean).cast("long").alias("size"), F.sha2(F.translate(clean, "\t", " ").cast("binary"), 256).alias("sha256"))
     return lineage.divergences(old, new)
+
+
+@add("j7_shared_orders", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber >= 5 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(spark, d):
+    """What the guard finds in a split that is not sound: lines whose order also stands on the training side."""
+    lines = t(spark, d, "lineitem")
+    return sampling.leaked(lines.where("l_returnflag = 'R'"), lines.where("l_linenumber >= 5").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")

@@ -239,3 +239,21 @@ def test_protocol_cache(spark):
     assert retrieval.usable_cache(cache, same).count() == 2
     for other in ({"digest": "b"}, {"n": 3}, {"max_tokens": 256}):
         assert retrieval.usable_cache(cache, same | other).count() == 0
+
+
+def test_a_bucket_above_the_limit_is_reported(spark):
+    """One bucket of 501 members, one of 500 and single ones: only the first is in the report, and no pair of it is given."""
+    from corpusloom.operators import dedup
+
+    rows = [(i, 0, "hot") for i in range(501)] + [(i, 1, "full") for i in range(500)] + [(i, 2, f"b{i}") for i in range(50)]
+    pairs, skipped = dedup.candidate_pairs(spark.createDataFrame(rows, "k long, band int, bucket string"), "k")
+    assert [tuple(r) for r in skipped.collect()] == [(0, "hot", 501)]
+    assert pairs.count() == 500 * 499 // 2 and pairs.where("b >= 500").count() == 0
+
+
+def test_the_guard_finds_a_planted_leak(spark):
+    from corpusloom.operators import sampling
+
+    train = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n")], "k int, v string")
+    held = spark.createDataFrame([(3, "a"), (2, "b"), (2, "c"), (None, "d")], "k int, v string")
+    assert sorted(r.v for r in sampling.leaked(train, held, "k").collect()) == ["b", "c"]
