@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from corpusloom.operators import audit
 from corpusloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -62,6 +63,23 @@ def test_bootstrap_of_all_orders_equals_brute_force(spark, sf, duck):
     assert (row.lo, row.hi) == pytest.approx(tuple(np.quantile(rates, [0.025, 0.975])), abs=2e-6)
 
 
+def test_bootstrap_of_odd_keys_equals_brute_force(spark):
+    """Keys of all lengths, hashed in arrays; a document without a key counts and is not drawn, as in the SQL. No row is written out for each resample."""
+    keys = [str(k) for k in range(95, 140)] + ["é", "", "x" * 43, "x" * 55, "y" * 64, "z" * 200, "17|3"]
+    rows = [(k, i % 3, 1 + i % 2) for i, k in enumerate(keys)]
+    df = spark.createDataFrame([*rows, (None, 5, 5)], "k string, p int, w int")
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    p, w, rates = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), []
+    for b in range(1, 121):
+        u = np.array([int(hashlib.md5(f"17|{b}|{k}".encode()).hexdigest()[:8], 16) for k in keys]) / 2.0**32
+        n = np.searchsorted(steps, u, side="right")
+        rates.append((n * p).sum() / (n * w).sum())
+    out = audit.bootstrap_ratio(df, "k", "p", "w", 120)
+    row = out.first()
+    assert row.documents == len(rows) + 1 and (row.lo, row.hi) == pytest.approx(tuple(np.quantile(rates, [0.025, 0.975])), abs=2e-6)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
 TEXTS = ["% whole line\nkept", "a % b\n% c\nd %% e", r"50\% of it % gone", "\\\\% gone", r"\\\% kept % gone", "no sign", "", None, "tab\x0bthen\x0b \n end ", "x\x1cy\x1fz"]
 
 
