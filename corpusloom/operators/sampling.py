@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
+from ._tables import Tables
 from .spine import capped
 
 
@@ -76,17 +77,19 @@ def labelled_set(positives: DataFrame, negatives: dict[str, DataFrame], key: str
 def review_sample(df: DataFrame, key: str, accepted: Column, every: int = 97, most: int = 400) -> DataFrame:
     """Of rows in key order, each ``every``-th that is accepted, at most ``most``.
 
-    Positions come from a count by key range and one inside each range, so no task sorts the whole table.
+    Positions come from a count by key range and one inside each range, so no task sorts the whole table. The ranges are drawn from a
+    sample that is not the same in two runs, so what is dealt is stored and both counts read that. Keys that are null come last.
     """
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__ok", accepted)
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("__start", F.sum("n").over(Window.orderBy("__p")) - F.col("n")).select("__p", "__start")  # a row a partition
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) + F.col("__start")
-    out = ranged.join(F.broadcast(starts), "__p").withColumn("__place", place)
-    out = out.where((F.col("__place") % every == 0) & F.col("__ok")).orderBy("__place").limit(most)
-    return out.drop("__p", "__ok", "__start", "__place")
+    order = F.col(key).asc_nulls_last()
+    dealt = df.withColumn("__ok", accepted).repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    with Tables(df.sparkSession) as tables:
+        ranged = tables.stored(dealt, "ranges")
+        sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
+        starts = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__start"))  # a row a range
+        place = F.row_number().over(Window.partitionBy("__p").orderBy(order)) + F.col("__start")
+        out = ranged.join(F.broadcast(starts), "__p").withColumn("__place", place)
+        out = tables.kept(out.where((F.col("__place") % every == 0) & F.col("__ok")).orderBy("__place").limit(most), "review")  # at most ``most`` rows
+    return out.orderBy("__place").drop("__p", "__ok", "__start", "__place")
 
 
 def calendar_slices(spark, start: str, end: str) -> DataFrame:

@@ -35,6 +35,15 @@ def test_splits_never_overlap_on_short_tables(spark):
     assert held.select("a").distinct().count() == 1 and sampling.leaked(train, held, "a").count() == 0
 
 
+def test_review_sample_counts_over_all_rows(spark, tmp_path):
+    """Many rows in no order: every 97th of all, whatever sample the ranges are drawn from; null keys come last."""
+    spark.range(400_000).selectExpr("CASE WHEN id % 50000 = 7 THEN NULL ELSE (id * 7919) % 400009 END AS k", "id % 3 AS lang").repartition(8).write.parquet(str(tmp_path / "in"))
+    rows = sorted((r.k is None, r.k or 0, r.lang) for r in spark.read.parquet(str(tmp_path / "in")).collect())
+    expected = [k for i, (_, k, lang) in enumerate(rows, 1) if i % 97 == 0 and lang == 1][:2000]
+    got = sampling.review_sample(spark.read.parquet(str(tmp_path / "in")), "k", F.col("lang") == 1, most=2000)
+    assert [r.k for r in got.collect()] == expected and got.columns == ["k", "lang"]
+
+
 def test_recovered_subfields(spark):
     df = spark.createDataFrame([("chao-dyn", "Outro"), ("math.AP", "Outro"), ("hep-th", "kept")], "primary_category string, subfield string")
     assert [r.subfield for r in taxonomy.recover_subfield(df).collect()] == ["Dinâmica Não-Linear", "Outro", "kept"]
