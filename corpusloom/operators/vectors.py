@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ._tables import new_path, stored
 
+#: Queries that meet 512 rows at once, so that a task's products stay at 16 MB however many queries there are.
+TILE = 2048
 #: Bytes of query vectors in a broadcast, rows of the bounded sample that the rotation is taken from, and the share of the sample's squares that the first step holds.
 QUERY_BYTES, ROTATED, HELD = 32 << 20, 2048, 0.6
 #: Rows that make a cell on average, bytes of all centres, rounds of k-means, and cells that a row is compared in; bytes of the vectors of a block.
@@ -98,13 +100,16 @@ def reaching(shared, held: int, threshold: float):
                 part = batch.slice(i, 512)
                 theirs = np.asarray(part.column(0))
                 x = matrix(part.column(1)) @ basis
-                most = own[:, :held] @ x[:, :held].T + rest[:, None] * np.sqrt((x[:, held:] ** 2).sum(axis=1))[None]
-                q, c = np.nonzero(most >= threshold - 1e-5)
-                for k in range(0, len(q), 1 << 16):
-                    qs, cs = q[k : k + (1 << 16)], c[k : k + (1 << 16)]
-                    score = np.round((own[qs] * x[cs]).sum(axis=1), 6)
-                    ok = (score >= threshold) & (ids[qs] != theirs[cs])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[qs][ok]), pa.array(theirs[cs][ok]), pa.array(score[ok])], names=["query", "candidate", "score"])
+                left = np.sqrt((x[:, held:] ** 2).sum(axis=1))
+                for j in range(0, len(own), TILE):
+                    most = own[j : j + TILE, :held] @ x[:, :held].T
+                    most += rest[j : j + TILE, None] * left[None]
+                    q, c = np.nonzero(most >= threshold - 1e-5)
+                    for k in range(0, len(q), 1 << 14):
+                        qs, cs = j + q[k : k + (1 << 14)], c[k : k + (1 << 14)]
+                        score = np.round((own[qs] * x[cs]).sum(axis=1), 6)
+                        ok = (score >= threshold) & (ids[qs] != theirs[cs])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[qs][ok]), pa.array(theirs[cs][ok]), pa.array(score[ok])], names=["query", "candidate", "score"])
 
     return run
 

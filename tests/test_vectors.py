@@ -1,8 +1,11 @@
 """Threshold join and semantic duplicates of vectors against brute force."""
 
 import math
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.operators import vectors as vc
@@ -141,3 +144,18 @@ def test_query_equals_brute_force(spark, tmp_path):
     got = registry.queries()["d11_semantic_duplicates"](spark, str(tmp_path)).collect()
     gone, pairs = brute(rows, 0.9)  # one cell: all pairs
     assert {r.id for r in got if not r.kept} == gone and len(gone) > 200 and all((r.id, r.witness) in pairs for r in got if not r.kept)
+
+
+def test_many_queries_take_little_memory():
+    """A block of queries meets rows tile by tile: the products never are as many as queries times rows."""
+    rng = np.random.default_rng(3)
+    own, x = rng.normal(size=(20_000, 8)), rng.normal(size=(512, 8))
+    own, x = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (own, x))
+    shared = SimpleNamespace(value=(np.arange(20_000), own, np.sqrt((own[:, 4:] ** 2).sum(axis=1)), np.eye(8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(512) + 19_900), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "v"])
+    tracemalloc.start()
+    got = {(q, c) for part in vc.reaching(shared, 4, 0.95)([batch]) for q, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    q, c = np.nonzero(np.round(own @ x.T, 6) >= 0.95)
+    assert got == {(a, b + 19_900) for a, b in zip(q.tolist(), c.tolist(), strict=True) if a != b + 19_900} and peak < 60 << 20
