@@ -20,12 +20,16 @@ def canonical_sets(docs: DataFrame, key: str, tex: str) -> DataFrame:
 
 
 def compare(source: DataFrame, copy: DataFrame, key: str, form: str = "form") -> DataFrame:
-    """(key, n_source, n_copy, preserved, absent, discordant) of each document of the source, from distinct forms.
+    """(key, n_source, n_copy, preserved, absent, discordant) of each document of the source, from its forms; repeated and null ones do not count.
 
-    absent is max(0, source - copy), discordant max(0, min(source, copy) - preserved).
+    absent is max(0, source - copy), discordant max(0, min(source, copy) - preserved). Both sets are dealt by document once, ROWS
+    rows a task or fewer, and counted where they lie: a task holds its own forms, not a share that grows with the table.
     """
-    both = source.select(key, form, F.lit(1).alias("s")).join(copy.select(key, form, F.lit(1).alias("c")), [key, form], "full_outer")
-    out = both.groupBy(key).agg(F.count("s").alias("n_source"), F.count("c").alias("n_copy"), F.count_if(F.col("s").isNotNull() & F.col("c").isNotNull()).alias("preserved"))
+    marks = lambda df, s: df.select(key, form, F.lit(s).alias("s"), F.lit(not s).alias("c")).where(F.col(form).isNotNull())
+    both = marks(source, True).unionByName(marks(copy, False))
+    tasks = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // ROWS))
+    forms = both.repartition(tasks, key).groupBy(key, form).agg(F.max("s").alias("s"), F.max("c").alias("c"))
+    out = forms.groupBy(key).agg(F.count_if("s").alias("n_source"), F.count_if("c").alias("n_copy"), F.count_if(F.col("s") & F.col("c") & F.col(key).isNotNull()).alias("preserved"))
     return out.where("n_source > 0").withColumns({
         "absent": F.greatest(F.lit(0).cast("long"), F.col("n_source") - F.col("n_copy")),
         "discordant": F.greatest(F.lit(0).cast("long"), F.least("n_source", "n_copy") - F.col("preserved")),
@@ -38,6 +42,8 @@ def audit_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count("*").alias("documents"), s("n_source").alias("equations"), rate("preserved").alias("preserved_rate"), rate("absent").alias("absent_rate"), rate("discordant").alias("discordant_rate"))
 
 
+#: Rows of both sets in a task of ``compare``, on average at most.
+ROWS = 1_000_000
 #: Documents of a task, about, where there are enough for all cores: enough to hide what a call of NumPy costs. No array is longer.
 STEP = 1 << 16
 SHIFTS = [x for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in four * 4]

@@ -128,6 +128,16 @@ def test_audit_of_sources(spark):
     assert audit.bootstrap_ratio(few, "k", "p", "w", 10).collect()[0].lo is None
 
 
+def test_compared_sets_may_repeat_forms_and_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(audit, "ROWS", 10)
+    source = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "k int, form string")
+    copy = spark.createDataFrame([(1, "a"), (1, "x"), (1, "x"), (2, "c"), (2, "c"), (None, "d"), (4, "e")], "k int, form string")
+    rows = {r.k: tuple(r)[1:] for r in audit.compare(source, copy, "k").collect()}
+    assert rows == {1: (2, 2, 1, 0, 1), 2: (1, 1, 1, 0, 0), None: (1, 1, 0, 0, 1)}
+    many = spark.range(200).selectExpr("id DIV 2 AS k", "id AS form")
+    assert audit.compare(many, many, "k").rdd.getNumPartitions() == 40
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "x", "url": "u"}\nnot json\n{"text": "y"}\n')
     rows = readers.slice_columns(readers.json_lines(spark, str(tmp_path / "a.jsonl"), "text string, url string")).collect()
