@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import latex
 from ..operators import audit, classify, dedup, graph, lineage, retrieval, verify
-from ..operators._tables import new_path
+from ..operators._tables import Tables, new_path
 from ..streaming import incremental
 from ._base import Book, t, values
 from .relational import hashed
@@ -228,8 +228,10 @@ def _(spark, d):
 def _(spark, d):
     """Train on two thirds of the labelled documents, calibrate, abstain; rows with their decision."""
     df = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    model = classify.train(df.where("doc_id % 3 <> 0"), hashed=True, iterations=10)
-    scored = classify.probabilities(model, df.where("doc_id % 3 = 0"))
+    with Tables(spark) as tables:
+        rows = classify.counted_once(tables, df, "text", "doc_id", "label")
+        model = classify.train_counted(rows.where("doc_id % 3 <> 0"), iterations=10)
+        scored = tables.kept(classify.probabilities(model, rows.where("doc_id % 3 = 0")).select("doc_id", "label", "p"), "scored")
     thresholds = {r["class"]: r["threshold"] for r in classify.calibrated(scored, "label", [0, 1]).collect()}
     return scored.select("doc_id", "label", F.round(F.col("p")[1], 6).alias("score"), classify.decided(F.col("p"), [0, 1], thresholds).cast("int").alias("decision"))
 
