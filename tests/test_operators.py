@@ -291,3 +291,20 @@ def test_the_guard_finds_a_planted_leak(spark):
     train = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n")], "k int, v string")
     held = spark.createDataFrame([(3, "a"), (2, "b"), (2, "c"), (None, "d")], "k int, v string")
     assert sorted(r.v for r in sampling.leaked(train, held, "k").collect()) == ["b", "c"]
+
+
+def test_only_texts_that_nfc_may_change_go_to_python(spark, monkeypatch):
+    import re
+    import unicodedata
+
+    open_to = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", text.MAYBE_OPEN))
+    kept = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not open_to.search(c)]
+    parts = [unicodedata.decomposition(c).split() for c in map(chr, range(0x110000))]
+    joined = {chr(int(p[1], 16)) for p in parts if len(p) == 2 and p[0][0] != "<"} | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    assert len(kept) > 30_000 and not joined & set(kept)
+    assert all(unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) for c in kept)
+    stay, go = ["Été — “größer” жй 漢字 かな 한글 10 €", "plain", ""], ["e\u0301te\u0301", "\u212b", "\u1112\u1161\u11ab", "가\u11a8", "か\u3099", "\uf900"]
+    rows = spark.createDataFrame([(x,) for x in stay + go], "t string")
+    assert [r.n for r in rows.select(text.composed(F.col("t")).alias("n")).collect()] == [unicodedata.normalize("NFC", x) for x in stay + go]
+    monkeypatch.setattr(text, "nfc", lambda c: F.when(c.isNotNull(), F.lit("python")))
+    assert [r.n for r in rows.select(text.composed(F.col("t")).alias("n")).collect()] == stay + ["python"] * len(go)
