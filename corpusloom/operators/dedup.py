@@ -20,6 +20,8 @@ SHINGLE = 5
 MOST = 500
 #: Members of a bucket that are dealt to one group, about.
 BLOCK = 512
+#: Rows that a task gives back at once: signatures, and pairs.
+OUT_ROWS, OUT_PAIRS = 1_000, 50_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -63,24 +65,24 @@ def permutations(n: int = N_PERM, seed: int = SEED) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(df: DataFrame, key: str, text: str, n_perm: int = N_PERM, seed: int = SEED, unicode: bool = True) -> DataFrame:
-    """(key, signature): minimum of (a * x + b) mod MODULUS under each permutation, in Arrow batches."""
+    """(key, signature): minimum of (a * x + b) mod MODULUS under each permutation, in Arrow batches of hashes that are sent as 4 bytes."""
     a, b = permutations(n_perm, seed)
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for own in batch.column(1):
-                x = np.asarray(own.values, dtype=np.int64) % MODULUS
-                low = np.full(n_perm, MODULUS, dtype=np.int64)
-                for i in range(0, len(x), 1024):
-                    np.minimum(low, ((x[i : i + 1024, None] * a + b) % MODULUS).min(axis=0), out=low)
-                out.append(low)
-            values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * n_perm), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "signature"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(at, OUT_ROWS)
+                lows = np.full((batch.num_rows, n_perm), MODULUS, dtype=np.int64)
+                for low, own in zip(lows, batch.column(1), strict=True):
+                    x = np.asarray(own.values).astype(np.int64)
+                    for i in range(0, len(x), 1024):
+                        np.minimum(low, ((x[i : i + 1024, None] * a + b) % MODULUS).min(axis=0), out=low)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lows) + 1, dtype=np.int32) * n_perm), pa.array(lows.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "signature"])
 
-    return hashed_shingles(df, key, text, unicode).mapInArrow(run, f"`{key}` {kind}, signature array<long>")
+    hashed = hashed_shingles(df, key, text, unicode).select(key, F.transform("h", lambda x: (x % MODULUS).cast("int")).alias("h"))
+    return hashed.mapInArrow(run, f"`{key}` {kind}, signature array<long>")
 
 
 def band_rows(sigs: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -163,22 +165,30 @@ def bucket_pairs(sigs: DataFrame, key: str, threshold: float | None = None, rows
             a, b, n = zip(*found, strict=True) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(a, ids_type), pa.array(b, ids_type), pa.array(n, pa.int32())], names=["a", "b", "equal"])
 
-        block, found, ids_type = [], [], None
-        for batch in batches:
-            ids_type = batch.schema.field(4).type
-            sig = np.asarray(batch.column(5).flatten()).reshape(batch.num_rows, N_PERM)
-            heads = zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for head, side, name, own in zip(heads, batch.column(3).to_pylist(), batch.column(4).to_pylist(), sig, strict=True):
-                if block and block[0][0] != head:
-                    for pair in met(block):
-                        found.append(pair)
-                        if len(found) >= 50_000:
-                            yield out(found)
-                            found = []
-                    block = []
-                block.append((head, side, name, own))
-        for pair in met(block) if block else ():
-            found.append(pair)
+        ids_type = None
+
+        def dealt_blocks() -> Iterator[list[tuple]]:
+            nonlocal ids_type
+            block = []
+            for batch in batches:
+                ids_type = batch.schema.field(4).type
+                sig = np.asarray(batch.column(5).flatten()).reshape(batch.num_rows, N_PERM)
+                heads = zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                for head, side, name, own in zip(heads, batch.column(3).to_pylist(), batch.column(4).to_pylist(), sig, strict=True):
+                    if block and block[0][0] != head:
+                        yield block
+                        block = []
+                    block.append((head, side, name, own))
+            if block:
+                yield block
+
+        found = []
+        for block in dealt_blocks():
+            for pair in met(block):
+                found.append(pair)
+                if len(found) >= OUT_PAIRS:  # of the last block, too
+                    yield out(found)
+                    found = []
         if found:
             yield out(found)
 

@@ -308,3 +308,22 @@ def test_only_texts_that_nfc_may_change_go_to_python(spark, monkeypatch):
     assert [r.n for r in rows.select(text.composed(F.col("t")).alias("n")).collect()] == [unicodedata.normalize("NFC", x) for x in stay + go]
     monkeypatch.setattr(text, "nfc", lambda c: F.when(c.isNotNull(), F.lit("python")))
     assert [r.n for r in rows.select(text.composed(F.col("t")).alias("n")).collect()] == stay + ["python"] * len(go)
+
+
+def test_signatures_and_pairs_leave_a_task_in_small_batches(spark, monkeypatch):
+    """One bucket of 400 signatures, the last of its task, has 79,800 pairs; no batch may hold them all."""
+    caught = []
+    frame = type(spark.range(1))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "mapInArrow", lambda self, f, schema: caught.append((self, f)) or self)
+        dedup.signatures(spark.createDataFrame([(i, f"w{i} is a text of its own") for i in range(2500)], "id long, t string").coalesce(1), "id", "t")
+        same = [7] * (dedup.N_PERM - 1)
+        dedup.bucket_pairs(spark.createDataFrame([(i, [*same, i]) for i in range(400)], "id long, signature array<long>"), "id")
+    for rows, run in caught:
+        batches = list(run(iter(rows.toArrow().combine_chunks().to_batches())))
+        if "signature" in batches[0].schema.names:
+            assert sum(b.num_rows for b in batches) == 2500 and max(b.num_rows for b in batches) <= dedup.OUT_ROWS
+        else:
+            assert max(b.num_rows for b in batches) <= dedup.OUT_PAIRS
+            pairs = [(r["a"], r["b"]) for b in batches for r in b.to_pylist()]
+            assert len(pairs) == len(set(pairs)) == 400 * 399 // 2
