@@ -1,6 +1,6 @@
 """Latest row of each key from an at-least-once stream: keyed state before a table that takes every batch once.
 
-The state holds the order (stamp, then tie columns) of each key's latest row, so that rows which change nothing are not written. The table merges what comes by the same order and
+The state holds the order (stamp, then tie columns) of each key's latest row, a table for each part of the keys, so that rows which change nothing are not written. The table merges what comes by the same order and
 notes each batch by its number: a batch that is run again after a crash replaces its first try, and one that was finished is passed over. The result therefore does not
 depend on the order of the files, on repeated rows, on crashes, or on the state being lost.
 """
@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +21,8 @@ from ..operators.spine import keep_latest
 
 #: Order of a null: before all others.
 LEAST = -(2**63)
+#: Parts that keys are dealt to, each with one state; types that pass pandas as texts.
+PARTS, WHOLE = 256, ("tinyint", "smallint", "int", "bigint")
 
 
 class UpsertTable:
@@ -93,35 +96,52 @@ class UpsertTable:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/batch={n}"), True)
 
 
-def newer(columns: list[str], orders: list[str]):
-    """Rows of a key that are not older than its state's, marked late if their stamp is before the watermark."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
-        order = list(zip(*(rows[o].tolist() for o in orders), strict=True))
-        best = max(order)
-        before = tuple(state.get) if state.exists else None
-        if before is None or best >= before:
-            state.update(best)
-            out = rows[[o == best for o in order]]
-            yield out[columns].assign(late=out[orders[0]] < state.getCurrentWatermarkMs() * 1000)
+def winners(rows: pd.DataFrame, key: str, orders: list[str]) -> pd.DataFrame:
+    """The last row of each key by ``orders``; of equal ones the one that stands last."""
+    return rows.sort_values(orders, kind="stable").drop_duplicates(key, keep="last")
+
+
+def newer(columns: list[str], key: str, orders: list[str]):
+    """Rows of a part's keys that are not older than the state's, marked late if their stamp is before the watermark; the state is an Arrow table of the part's keys and orders."""
+    names = [key, *orders]
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        rows = None
+        for frame in frames:  # of what has come so far, only the latest rows are kept
+            rows = frame if rows is None else pd.concat([rows, frame], ignore_index=True)
+            rows = rows.merge(winners(rows, key, orders)[names], on=names)
+        latest = winners(rows, key, orders)[names].assign(__new=True)
+        if before is not None:
+            latest = winners(pd.concat([before.assign(__new=False), latest], ignore_index=True), key, orders)
+        table = pa.Table.from_pandas(latest[names], preserve_index=False).replace_schema_metadata()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        fresh = rows.merge(latest.loc[latest["__new"], names], on=names)
+        yield fresh[columns].assign(late=fresh[orders[0]] < state.getCurrentWatermarkMs() * 1000)
 
     return run
 
 
-def latest_changes(stream: DataFrame, key: str, stamp: str, *tiebreak: str, late: str = "2 hours") -> DataFrame:
+def latest_changes(stream: DataFrame, key: str, stamp: str, *tiebreak: str, late: str = "2 hours", parts: int = PARTS) -> DataFrame:
     """The stream's rows that become their key's latest, with a column ``late``; of a batch's rows of one key the latest only.
 
-    The state has one small row for each key, for ever: a timeout would keep a run over what is there from ending. ``tiebreak`` columns are whole numbers. Null stamps and ties are the oldest. Late rows are marked, never dropped: a key's first row may come late.
+    The keys are dealt to ``parts`` by a hash, which a checkpoint fixes, and a part's rows of a batch meet its state at once; the state has a small row for each key, for ever: a timeout would keep
+    a run over what is there from ending. ``tiebreak`` columns are whole numbers. Null stamps and ties are the oldest. Late rows are marked, never dropped: a key's first row may come late.
     """
-    columns = stream.columns
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     orders = [f"__o{i}" for i in range(1 + len(tiebreak))]
     at = F.col(stamp).cast("timestamp")
-    marked = stream.withColumns({"__at": at, orders[0]: F.coalesce(F.unix_micros(at), F.lit(LEAST))} | {o: F.coalesce(F.col(c).cast("long"), F.lit(LEAST)) for o, c in zip(orders[1:], tiebreak, strict=True)})
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", late boolean"
-    state = ", ".join(f"{o} long" for o in orders)
-    grouped = marked.withWatermark("__at", late).groupBy(key)
-    return grouped.applyInPandasWithState(newer(columns, orders), out, state, "update", GroupStateTimeout.NoTimeout)
+    # whole numbers and times pass pandas as texts and microseconds: it would make floats of those with a null beside them
+    sent = {c: F.col(c).cast("string") if k in WHOLE else F.unix_micros(c).cast("string") if k == "timestamp" else F.col(c) for c, k in kinds.items()}
+    back = {c: F.col(c).cast(k) if k in WHOLE else F.timestamp_micros(F.col(c).cast("long")) if k == "timestamp" else F.col(c) for c, k in kinds.items()}
+    marked = stream.withColumns({"__at": at, "__part": F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(parts))), orders[0]: F.coalesce(F.unix_micros(at), F.lit(LEAST))} | {o: F.coalesce(F.col(c).cast("long"), F.lit(LEAST)) for o, c in zip(orders[1:], tiebreak, strict=True)})
+    marked = marked.withWatermark("__at", late).select("__at", "__part", *orders, *[v.alias(c) for c, v in sent.items()])
+    out = ", ".join(f"`{c}` {'string' if k in WHOLE or k == 'timestamp' else k}" for c, k in kinds.items()) + ", late boolean"
+    changed = marked.groupBy("__part").applyInPandasWithState(newer(list(kinds), key, orders), out, "keys binary", "update", GroupStateTimeout.NoTimeout)
+    return changed.select(*[v.alias(c) for c, v in back.items()], "late")
 
 
 def upsert_files(table: UpsertTable, source: str, checkpoint: str, late: str = "2 hours", files_per_batch: int = 1, before_commit: Callable[[int], None] | None = None) -> StreamingQuery:

@@ -104,3 +104,28 @@ def test_rows_that_change_nothing_are_not_passed_on(spark, tmp_path):
             assert r.user_id not in best or best[r.user_id] is None or (r.ts is not None and r.ts >= best[r.user_id])
             best[r.user_id] = r.ts
     assert len(best) == len({r[0] for r in rows})
+
+
+def test_a_part_meets_its_state_at_once_and_whole_numbers_stay(spark, tmp_path, monkeypatch):
+    """Python is called once a part and batch, not once a key; ids beyond 2**53 beside nulls come back as they were."""
+    big = 2**60 + 1
+    rows = [(big + i, None if i % 3 else big + 2 * i, None if i % 7 == 0 else START + dt.timedelta(minutes=i, microseconds=1), None if i % 5 else f"v{i}") for i in range(300)] + [(None, big, START, "no key")]
+    write(spark, str(tmp_path / "in"), rows, 1, [0])
+    calls = spark.sparkContext.accumulator(0)
+    real = upsert.newer
+
+    def counted(*args):
+        run = real(*args)
+
+        def one(key, frames, state):
+            calls.add(1)
+            yield from run(key, frames, state)
+
+        return one
+
+    monkeypatch.setattr(upsert, "newer", counted)
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    seen = []
+    upsert.latest_changes(stream, "user_id", "ts", "event_id").writeStream.foreachBatch(lambda df, b: seen.extend(df.collect())).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
+    assert {tuple(r)[:4] for r in seen} == set(rows) and len(seen) == len(rows)
+    assert 0 < calls.value <= upsert.PARTS + 1
