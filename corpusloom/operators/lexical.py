@@ -21,8 +21,8 @@ from ._tables import Tables, stored
 #: Okapi parameters; parts of a score are whole numbers of 1 / UNIT, so that sums do not depend on their order.
 K1, B = 1.2, 0.75
 UNIT = 1_000_000
-#: Documents in a block, on average; documents that a query's first bound is taken from, of one term.
-BLOCK, FIRST = 256, 4096
+#: Documents in a block, on average: what queries send grows with the blocks, and small ones are hardly ever skipped; documents that a query's first bound is taken from, of one term.
+BLOCK, FIRST = 1024, 4096
 #: Buckets of an index at most; query terms that are broadcast at most.
 MOST_BUCKETS, FEW_TERMS = 20_000, 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -152,7 +152,8 @@ def scored(k: int, average: float):
         ids, lengths = values[all_of], tf[all_of]  # by id
         local = np.searchsorted(ids, values)
         parts = weight(tf.astype(np.float64), lengths[local].astype(np.float64), average)
-        rows = np.array([at.get(t, -1) for t in asked.column("term").to_pylist()])
+        terms = asked.column("term").combine_chunks().dictionary_encode()
+        rows = np.array([at.get(t, -1) for t in terms.dictionary.to_pylist()])[np.asarray(terms.indices)]
         queries, idf = np.asarray(asked.column("query")), np.asarray(asked.column("idf"))
         keep = rows >= 0
         rows, queries, idf = rows[keep], queries[keep], idf[keep]
@@ -168,8 +169,8 @@ def scored(k: int, average: float):
             totals = np.bincount(local[where], weights=impacts, minlength=len(ids)).astype(np.int64)  # whole numbers: exact
             held = np.unique(local[where])
             best_of = held[np.lexsort((ids[held], -totals[held]))[:k]]
-            out.append(pa.table({"query": np.full(len(best_of), queries[low]), "doc": ids[best_of], "score": totals[best_of]}))
-        return pa.concat_tables(out) if out else none
+            out.append((np.full(len(best_of), queries[low]), ids[best_of], totals[best_of]))
+        return pa.table(dict(zip(("query", "doc", "score"), map(np.concatenate, zip(*out)), strict=True))) if out else none
 
     return run
 

@@ -125,3 +125,14 @@ def test_fusion_equals_its_definition(spark):
 def test_a_pair_that_a_list_repeats_counts_once(spark):
     part = spark.createDataFrame([(1, 2, 5), (1, 2, 3)], "query long, candidate long, rank long")
     assert [tuple(r) for r in lexical.fused([part, part.limit(0)]).collect()] == [(1, 2, 1 / 63, 3, None)]
+
+
+def test_what_queries_send_grows_with_few_blocks(spark, tmp_path, monkeypatch):
+    """2,000 documents with the same words: every query goes to every block, so blocks must not be small."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word "), F.col("id") % 7).alias("text"))
+    asked = spark.createDataFrame([(q, "the word") for q in range(5)], "item_id long, text string")
+    sent, real = [], lexical.sums
+    monkeypatch.setattr(lexical, "sums", lambda terms, *rest: sent.append(terms.count()) or real(terms, *rest))
+    found = lexical.search(lexical.inverted_index(docs, str(tmp_path / "index")), asked, 10).collect()
+    assert {(r.query, r.doc, r["rank"]) for r in found} == {(q, i, i + 1) for q in range(5) for i in range(10)}
+    assert max(sent) <= 5 * 2 * 2  # queries, terms, blocks
