@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
-#: A character that NFC may change or join to the one before; all others (Latin, Cyrillic, usual punctuation, kana, CJK) stay as they are in any text.
+#: Beyond Latin letters, found fast; a character that NFC may change or join to the one before; all others (Latin, Cyrillic, usual punctuation, kana, CJK) stay as they are in any text.
+BEYOND_LATIN = r"[^\x00-\x{2FF}]"
 MAYBE_OPEN = r"[^\x00-\x{2FF}\x{400}-\x{482}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 
 
@@ -32,7 +33,7 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 def composed(text: Column) -> Column:
     """NFC; Python gets a null in place of each text whose characters all stay as they are, so that its batches hold few texts."""
-    other = F.when((F.length(text) != F.octet_length(text)) & text.rlike(MAYBE_OPEN), text)
+    other = F.when((F.length(text) != F.octet_length(text)) & text.rlike(BEYOND_LATIN) & text.rlike(MAYBE_OPEN), text)
     return F.coalesce(nfc(other), text)
 
 
