@@ -100,6 +100,13 @@ def test_a_difference_is_an_error():
         Vocabulary(message((1, message((1, "a"), (2, -1.0))), (2, message((3, 1)))))
 
 
+def test_batches_without_new_stretches():
+    library = loaded(pc.default_model())[1]
+    batches = [pc.pa.record_batch({"doc_id": [1, 2], "text": pc.pa.array(x, pc.pa.string())}) for x in ([None, ""], ["the same", "the"], ["the", "the same"], ["", None])]
+    got = [b.column("ids").to_pylist() for b in pc.coded(pc.default_model(), False)(batches)]
+    assert got == [library.encode([t or "" for t in b.column("text").to_pylist()]) for b in batches]
+
+
 def test_worker_forgets_and_stays_right():
     library = loaded(pc.default_model())[1]
     own = Vocabulary(open(pc.default_model(), "rb").read(), cache_chars=300)
