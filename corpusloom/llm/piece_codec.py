@@ -4,6 +4,7 @@ A text's characters are symbols; the agenda holds the adjacent pairs whose joine
 pair is joined, its new neighbours are put on the agenda, and entries whose symbols have changed since are passed over. Nothing can be joined across a place that no
 piece spans: before a space mark that follows another character (unless some piece holds both), and at characters in no piece. The stretches between
 those places are encoded for themselves, each distinct one once; the agendas of a batch's short stretches advance in step as arrays, a long stretch has a heap.
+Texts are cut, put together from their stretches' ids and decoded as arrays: Python meets a distinct stretch of a batch, never each of its places.
 Each Arrow batch is checked against the sentencepiece library: a difference is an error and never a result.
 """
 
@@ -35,9 +36,13 @@ UNKNOWN_TEXT = " ⁇ "
 CACHE_CHARS = 1 << 24
 SHORT = 32
 STEP_BYTES = 1 << 22
-#: New stretches in one text for the library.
+#: New stretches in one text for the library; stretches whose agendas advance together.
 CHECKED = 128
-NONE = np.int64(1) << np.int64(40)
+ABREAST = 1 << 14
+NONE = np.int32(2**31 - 1)
+HASHED = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of characters where texts are cut: in no piece, in pieces, the mark if no piece has it behind another character.
+STRANGE, KNOWN, MARK = 0, 1, 2
 CODES = "doc_id long, ids array<int>, decoded string"
 
 
@@ -77,6 +82,10 @@ def one_bad_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("piece_codec.bytes", one_bad_byte)
 
 
+def packed(ids: tuple[int, ...]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
 class Vocabulary:
     """Pieces of a model file with scores and kinds; encodes normalised texts and decodes ids."""
 
@@ -88,14 +97,14 @@ class Vocabulary:
         self.unknown, self.strip, self.strip_all = 0, True, True
         self.table: list[bytes] = []
         self.kinds: list[int] = []
-        user: list[str] = []
+        self.user_id: dict[str, int] = {}
         kind_of_model = 1
         for number, value in fields(model):
             if number == 1:
                 piece, score, kind = "", 0.0, NORMAL
                 for k, v in fields(value):
                     piece, score, kind = (v.decode() if k == 1 else piece), (v if k == 2 else score), (v if k == 3 else kind)
-                self._add(piece, score, kind, user)
+                self._add(piece, score, kind)
             elif number == 2:
                 kind_of_model = dict(fields(value)).get(3, 1)
             elif number == 3:
@@ -105,16 +114,21 @@ class Vocabulary:
         if kind_of_model != MERGES:
             raise ValueError("the model's vocabulary is not of the merge type")
         self.fallback = min(self.byte_id) >= 0
-        self.user = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
-        known = "".join(map(re.escape, sorted(set(chain.from_iterable(self.score)) - {SPACE})))
+        self.user = re.compile("|".join(map(re.escape, sorted(self.user_id, key=len, reverse=True)))) if self.user_id else None
+        letters = set(chain.from_iterable(self.score)) - {SPACE}
+        known = "".join(map(re.escape, sorted(letters)))
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         own = f"{SPACE}*[{known}]+|{SPACE}+" if apart else f"[{known}{SPACE}]+"
         self.stretches = re.compile(f"{own}|[^{known}{SPACE}]+" if known else r"(?s:.)+")
-        self.ids: dict[str, tuple[int, ...]] = {}  # tuples of numbers are nothing that Python's collector visits
+        self.kind_of_char = np.full(0x110000, STRANGE, dtype=np.uint8)
+        self.kind_of_char[[ord(c) for c in letters]] = KNOWN
+        self.kind_of_char[ord(SPACE)] = (MARK if apart else KNOWN) if known else STRANGE
+        self.ids: dict[str, bytes] = {}  # 4 bytes an id
         self.limit, self.chars = cache_chars, 0
         self._pairs()
+        self._texts()
 
-    def _add(self, piece: str, score: float, kind: int, user: list[str]) -> None:
+    def _add(self, piece: str, score: float, kind: int) -> None:
         number = len(self.table)
         self.kinds.append(kind)
         if kind == BYTE:
@@ -130,7 +144,7 @@ class Vocabulary:
             self.table.append(piece.replace(SPACE, " ").encode())
             self.score[piece], self.id_of[piece] = score, number
             if kind == USER_DEFINED:
-                user.append(piece)
+                self.user_id[piece] = number
             if kind == UNUSED:
                 self.unused.add(piece)
 
@@ -181,81 +195,104 @@ class Vocabulary:
         return out
 
     def _pairs(self) -> None:
-        """Symbols as numbers, and for each pair of symbols that makes a piece its number and the rank of its score."""
+        """Symbols as numbers, and for each pair of symbols that makes a piece its number and the rank of its score, times SHORT."""
         names = list(self.score) + sorted(set(chain.from_iterable(self.score)) - self.score.keys())
         number = {s: k for k, s in enumerate(names)}
-        rank = {v: k for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
+        rank = {v: k * SHORT for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.of_char = np.full(0x110000, -1, dtype=np.int32)
         for s, k in number.items():
             if len(s) == 1:
                 self.of_char[ord(s)] = k
         self.piece_id = np.array([self.id_of.get(s, -1) for s in names] + [-1], dtype=np.int32)
         rows = [(number[p[:k]] * len(names) + number[p[k:]], rank[v], number[p]) for p, v in self.score.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
-        table = np.array(sorted(rows) + [(np.iinfo(np.int64).max, 0, 0)], dtype=np.int64)
-        self.pair_keys, self.pair_ranks, self.pair_numbers = (np.ascontiguousarray(table[:, k]) for k in range(3))
+        table = np.array(rows + [(-1, 0, 0)], dtype=np.int64)
+        self.pair_keys = np.ascontiguousarray(table[:, 0])
+        self.pair_ranks, self.pair_numbers = (table[:, k].astype(np.int32) for k in (1, 2))
         self.n_symbols = len(names)
-
-    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (NONE where the pair makes no piece) and numbers of joined pairs."""
-        keys = left.astype(np.int64) * self.n_symbols + right
-        at = np.searchsorted(self.pair_keys, keys)
-        hit = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.pair_ranks[at], NONE), self.pair_numbers[at]
-
-    def merged_in_step(self, stretches: list[str]) -> list[tuple[int, ...]]:
-        """``merged`` of stretches of at most SHORT characters: every round takes the top of each agenda."""
+        self.bits = max(8, len(rows).bit_length() + 4)
+        self.slots = np.full((1 << self.bits) + len(table), len(rows), dtype=np.int32)
+        waiting, slots = np.arange(len(rows)), self._slots(self.pair_keys)
+        while len(waiting):
+            free = waiting[self.slots[slots[waiting]] == len(rows)]
+            self.slots[slots[free]] = free
+            waiting = waiting[self.slots[slots[waiting]] != waiting]
+            slots[waiting] += 1
+
+    def _texts(self) -> None:
+        """Bytes of the pieces, and those of a piece that begins a text; which pieces leave it open where the text begins."""
+        bare = [t[1:] if self.strip and kind not in (BYTE, UNKNOWN, CONTROL) and t[:1] == b" " else t for t, kind in zip(self.table, self.kinds, strict=True)]
+        self.pieces = pa.array(self.table + bare, pa.large_binary())
+        self.open = np.array([self.strip and (kind == CONTROL or self.strip_all and not t) for t, kind in zip(bare, self.kinds, strict=True)], dtype=bool)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where the numbers of pairs begin to be looked for: there, or in the next slots until one is free."""
+        return (keys.astype(np.uint64) * HASHED >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places on the agenda (NONE where the pair makes no piece) and numbers of joined pairs."""
+        keys = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n_symbols + right, -2)
+        slots = self._slots(keys)
+        at = self.slots[slots]
+        hit = self.pair_keys[at] == keys
+        others = np.flatnonzero(~hit & (at < len(self.pair_keys) - 1))
+        while len(others):
+            slots[others] += 1
+            at[others] = found = self.slots[slots[others]]
+            hit[others] = self.pair_keys[found] == keys[others]
+            others = others[~hit[others] & (found < len(self.pair_keys) - 1)]
+        return np.where(hit, self.pair_ranks[at] + place, NONE), self.pair_numbers[at]
+
+    def _abreast(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches of at most SHORT characters: a column each, of a cell a character; every round joins the top of each column's agenda."""
         sizes = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
-        symbols = self.of_char[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        which, out = np.arange(len(stretches)), [()] * len(stretches)
-        ranks, numbers = self._looked_up(symbols, np.append(symbols[1:], np.int32(-1)))
-        ranks[np.cumsum(sizes) - 1] = NONE
-        while len(which):
-            starts = np.cumsum(sizes) - sizes
-            within = np.arange(len(symbols)) - np.repeat(starts, sizes)
-            top = np.minimum.reduceat(ranks * SHORT + within, starts)
-            done = top >= NONE * SHORT
-            if done.any():
-                rows = np.repeat(done, sizes)
-                ids = tuple(self.piece_id[symbols[rows]].tolist())
-                at = 0
-                for k, size in zip(which[done].tolist(), sizes[done].tolist(), strict=True):
-                    out[k] = ids[at : at + size]
-                    at += size
-                symbols, ranks, numbers = symbols[~rows], ranks[~rows], numbers[~rows]
-                which, sizes, top = which[~done], sizes[~done], top[~done]
-                starts = np.cumsum(sizes) - sizes
-            if not len(which):
+        n, height = len(stretches), int(sizes.max()) + 1  # the last row stays without symbols
+        symbols = np.full((n, height), -1, dtype=np.int32)
+        symbols[np.arange(height) < sizes[:, None]] = self.of_char[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        strange = (symbols >= 0).sum(axis=1) < sizes
+        symbols = np.ascontiguousarray(symbols.T).reshape(-1)
+        cells = np.arange(len(symbols))
+        place = (cells // n).astype(np.int32)
+        following, leading = cells + n, cells - n
+        leading[:n] += len(cells)
+        agenda, joined = np.full(len(cells), NONE), np.zeros(len(cells), dtype=np.int32)
+        agenda[:-n], joined[:-n] = self._looked_up(symbols[:-n], symbols[n:], place[:-n])
+        while True:
+            top = agenda.reshape(height, n).min(axis=0)
+            column = np.flatnonzero(top < NONE)
+            if not len(column):
                 break
-            left = starts + top % SHORT
-            symbols[left] = numbers[left]
-            ranks[left] = ranks[left + 1]  # none, if the pair was the last
-            kept = np.ones(len(symbols), dtype=bool)
-            kept[left + 1] = False
-            last = left + 2 == starts + sizes
-            symbols, ranks, numbers = symbols[kept], ranks[kept], numbers[kept]
-            sizes = sizes - 1
-            left = left - np.arange(len(left))
-            starts = starts - np.arange(len(left))
-            right = left[~last]
-            ranks[right], numbers[right] = self._looked_up(symbols[right], symbols[right + 1])
-            ranks[left[last]] = NONE
-            before = left[left > starts] - 1
-            ranks[before], numbers[before] = self._looked_up(symbols[before], symbols[before + 1])
-        return [self.merged(s) if -1 in ids else ids for s, ids in zip(stretches, out, strict=True)]
-
-    def learn(self, stretches: set[str]) -> list[str]:
-        """Encode the stretches that are not remembered; returns them."""
+            left = top[column] % SHORT * np.int64(n) + column
+            right = following[left]
+            after, before = following[right], leading[left]
+            symbols[left], symbols[right], agenda[right] = joined[left], -1, NONE
+            following[left], leading[after] = after, left
+            agenda[left], joined[left] = self._looked_up(symbols[left], symbols[after], place[left])
+            agenda[before], joined[before] = self._looked_up(symbols[before], symbols[left], place[before])
+        symbols = symbols.reshape(height, n).T
+        left = symbols >= 0
+        ids, ends = self.piece_id[symbols[left]], np.append(0, np.cumsum(left.sum(axis=1)))
+        strange[np.searchsorted(ends, np.flatnonzero(ids < 0), "right") - 1] = True
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [packed(self.merged(s)) if odd else data[a:b] for s, odd, a, b in zip(stretches, strange.tolist(), ends[:-1], ends[1:], strict=True)]
+
+    def merged_in_step(self, stretches: list[str]) -> list[tuple[int, ...]]:
+        """``merged`` of stretches of at most SHORT characters."""
+        return [tuple(np.frombuffer(x, dtype=np.int32).tolist()) for x in self._abreast(stretches)]
+
+    def learn(self, stretches: list[str]) -> list[str]:
+        """Encode the distinct stretches that are not remembered; returns them."""
         new = [s for s in stretches if s not in self.ids]
         self.chars += sum(map(len, new)) + 16 * len(new)
         if self.chars > self.limit:
             self.ids.clear()
             new = list(stretches)
             self.chars = sum(map(len, new)) + 16 * len(new)
-        short = [s for s in new if len(s) <= SHORT and not self.unused]
-        self.ids.update(zip(short, self.merged_in_step(short) if short else [], strict=True))
+        short = sorted((s for s in new if len(s) <= SHORT and s not in self.user_id and not self.unused), key=len)
+        for k in range(0, len(short), ABREAST):
+            self.ids.update(zip(short[k : k + ABREAST], self._abreast(short[k : k + ABREAST]), strict=True))
         for s in new:
             if s not in self.ids:
-                self.ids[s] = self.merged(s)
+                self.ids[s] = packed((self.user_id[s],) if s in self.user_id else self.merged(s))
         return new
 
     def cut(self, normal: str) -> list[str]:
@@ -266,19 +303,52 @@ class Vocabulary:
         for found in chain(self.user.finditer(normal), [None]):
             out += self.stretches.findall(normal, at, found.start() if found else len(normal))
             if found:
-                self.ids[found[0]] = (self.id_of[found[0]],)
                 out.append(found[0])
                 at = found.end()
         return out
 
+    def _cut_all(self, normal: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """Stretches of all texts, and the number of the first one of each text."""
+        if self.user is not None:
+            lists = [self.cut(t) for t in normal]
+            return pa.array(list(chain.from_iterable(lists)), pa.large_string()), np.append(0, np.cumsum([len(x) for x in lists], dtype=np.int64))
+        text = "".join(normal)
+        data = text.encode()
+        kinds = self.kind_of_char[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+        ends = np.append(0, np.cumsum([len(t) for t in normal], dtype=np.int64))
+        begins = np.ones(len(kinds) + 1, dtype=bool)
+        begins[1:-1] = (kinds[1:] != kinds[:-1]) & ((kinds[:-1] != MARK) | (kinds[1:] != KNOWN))
+        begins[ends] = True
+        at = np.flatnonzero(begins)
+        offsets = np.append(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80), len(data))[at]
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(at, ends)
+
+    def encoded(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of normalised texts one after another, where those of each text begin, and the stretches that were encoded for them."""
+        stretches, first = self._cut_all(normal)
+        which = stretches.dictionary_encode()
+        distinct = which.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.learn(distinct)
+        held = list(map(self.ids.__getitem__, distinct))
+        ends = np.append(0, np.cumsum([len(x) for x in held], dtype=np.int64)) // 4
+        taken = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(held), dtype=np.int32)).take(which.indices)
+        ids, offsets = taken.flatten().to_numpy(zero_copy_only=False), taken.offsets.to_numpy()[first]
+        if not self.fallback:  # unknown characters in a row are one unknown piece
+            kept = np.ones(len(ids), dtype=bool)
+            kept[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            kept[offsets[:-1][offsets[:-1] < len(ids)]] = True
+            ids, offsets = ids[kept], np.append(0, np.cumsum(kept))[offsets]
+        return ids, offsets, new
+
     def encode_all(self, normal: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids of normalised texts, and the stretches that were encoded for them. Without bytes, unknown characters in a row are one unknown piece."""
-        lists = [self.cut(t) for t in normal]
-        new = self.learn(set(chain.from_iterable(lists)))
-        out = [list(chain.from_iterable(map(self.ids.__getitem__, x))) for x in lists]
-        if not self.fallback:
-            out = [[i for k, i in enumerate(x) if not (k and i == x[k - 1] == self.unknown)] for x in out]
-        return out, new
+        """Ids of normalised texts, and the stretches that were encoded for them."""
+        ids, offsets, new = self.encoded(normal)
+        return self.split(ids, offsets), new
+
+    @staticmethod
+    def split(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+        numbers, ends = ids.tolist(), offsets.tolist()
+        return [numbers[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the first space mark goes if encoding puts one there; bytes that are no UTF-8 give U+FFFD each."""
@@ -294,6 +364,18 @@ class Vocabulary:
                 break
         return b"".join(table).decode("utf-8", "piece_codec.bytes")
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """``decode`` of each text's ids."""
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        which = ids.copy()
+        which[first] += len(self.table)
+        pieces = self.pieces.take(pa.array(which))
+        ends, data = np.frombuffer(pieces.buffers()[1], dtype=np.int64)[offsets].tolist(), memoryview(pieces.buffers()[2] or b"")
+        out = [str(data[a:b], "utf-8", "piece_codec.bytes") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for k in np.flatnonzero(offsets[:-1] < offsets[1:])[self.open[ids[first]]].tolist():
+            out[k] = self.decode(ids[offsets[k] : offsets[k + 1]].tolist())
+        return out
+
 
 @lru_cache(maxsize=2)
 def loaded(model_path: str) -> tuple:
@@ -309,8 +391,8 @@ def check(own: Vocabulary, library, texts: list[str]) -> None:
     if not texts:  # the library decodes an empty list to an empty text, not to an empty list
         return
     expected = library.encode(texts, num_threads=1)
-    ids = own.encode_all([library.normalize(t) for t in texts])[0]
-    if ids != expected or [own.decode(x) for x in ids] != library.decode(expected, num_threads=1):
+    ids, offsets, _ = own.encoded([library.normalize(t) for t in texts])
+    if own.split(ids, offsets) != expected or own.decode_all(ids, offsets) != library.decode(expected, num_threads=1):
         raise RuntimeError("ids or decoded texts differ from the library's")
 
 
@@ -322,12 +404,10 @@ def coded(model_path: str, whole: bool):
         for batch in batches:
             for part in chunks(batch, "text", STEP_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, new = own.encode_all([library.normalize(t) for t in texts])
+                ids, offsets, new = own.encoded([library.normalize(t) for t in texts])
                 check(own, library, texts if whole else ["".join(new[k : k + CHECKED]).replace(SPACE, " ") for k in range(0, len(new), CHECKED)])
-                decoded = [own.decode(x) for x in ids]
-                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                values = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                lists = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(own.decode_all(ids, offsets), pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 

@@ -114,6 +114,54 @@ def test_worker_forgets_and_stays_right():
         assert own.encode_all([library.normalize(t)])[0] == [library.encode(t)]
 
 
+class Counted(dict):
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_python_meets_distinct_stretches_only():
+    """A batch of 60,000 words costs Python what its three distinct ones cost."""
+    library = loaded(pc.default_model())[1]
+    own = Vocabulary(open(pc.default_model(), "rb").read())
+    own.ids = Counted()
+    batch = ["the cat and " * 5000] * 4
+    assert own.encode_all([library.normalize(t) for t in batch])[0] == library.encode(batch)
+    assert own.ids.asked <= 10
+
+
+USERS = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("<u>", 0, 4), ("▁a", -3, 1), ("ab", -1, 1), ("a", -9, 1), ("b", -9, 1), ("▁", -9, 1)]
+
+
+def test_pieces_of_the_user_are_known_after_forgetting():
+    data = model(USERS)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=data), Vocabulary(data, cache_chars=60)
+    for t in texts(300, 25, 7):
+        check(own, library, [t])
+
+
+def test_texts_are_cut_as_by_the_pattern():
+    for own in (loaded(pc.default_model())[0], Vocabulary(model([p for p in USERS if p[0] != "<u>"] + [("b▁a", -1, 1)])), Vocabulary(model(USERS[:3]))):
+        for batch in (texts(300, 30, 8), ["", ""], ["▁▁a▁\n▁b", "", "▁", "a", "\n"], []):
+            batch = [t.replace(" ", "▁") for t in batch]
+            stretches, first = own._cut_all(batch)
+            assert [stretches.to_pylist()[a:b] for a, b in zip(first[:-1], first[1:])] == [own.cut(t) for t in batch]
+
+
+@pytest.mark.parametrize("extra", [0, 1])
+def test_decoding_as_arrays_equals_decoding_by_row(extra):
+    rng = random.Random(9)
+    for own in (loaded(pc.default_model())[0], Vocabulary(model(USERS, 1, extra))):
+        n = len(own.table)
+        rows = [[], [0], [1], [1, 1], [n - 1, n - 1]] + [[rng.choice([rng.randrange(n), rng.randrange(min(n, 300))]) for _ in range(rng.randrange(7))] for _ in range(1000)]
+        for batch in (rows, [[]], [[], []], []):
+            ids = pc.np.array([i for x in batch for i in x], dtype=pc.np.int32)
+            offsets = pc.np.append(0, pc.np.cumsum([len(x) for x in batch], dtype=pc.np.int64))
+            assert own.decode_all(ids, offsets) == [own.decode(x) for x in batch]
+
+
 def test_query_digests(spark, sf):
     library = loaded(pc.default_model())[1]
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
